@@ -64,12 +64,13 @@ def response_records(
 
     With ``pages`` (page_id, url) link fields are made absolute.
     """
-    good = parsed.where(F.col("error_type").isNull())
+    # Failed responses have no records and fall out here; a filter on the error would
+    # be pushed below the parser and parse everything twice.
+    out = parsed.select("page_id", F.posexplode("records").alias("rec_ord", "rec"))
     if pages is not None:
-        good = good.join(pages.select("page_id", "url"), "page_id")
-    keep = ["page_id"] + (["url"] if "url" in good.columns else [])
-    out = good.select(*keep, F.posexplode("records").alias("rec_ord", "rec"))
-    if "url" in keep:
+        out = out.join(pages.select("page_id", "url"), "page_id").select(
+            "page_id", "url", "rec_ord", "rec"
+        )
         out = resolve_links(out, compat=compat)
     return out.withColumn("rec_json", F.to_json("rec"))
 

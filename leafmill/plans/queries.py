@@ -16,9 +16,8 @@ from leafmill import fixed_values as fv
 from leafmill.functions.numbers import milli
 from leafmill.functions.text import (
     is_present,
-    redact_text,
+    redact_column,
     redact_url,
-    redaction_hits,
     resolve_links,
     schema_name,
     schema_name_of,
@@ -510,15 +509,15 @@ def redacted_urls(spark, sf):
     return _mixed_urls(spark, sf).select("page_id", redact_url(F.col("url")).alias("safe_url"))
 
 
+def _redacted(docs: DataFrame) -> DataFrame:
+    return redact_column(docs.select("doc_id", "text"), "text").select(
+        "doc_id", F.md5("text").alias("safe_md5"), "bearer_hits", "assignment_hits", "prefix_hits"
+    )
+
+
 @query
 def redacted_documents(spark, sf):
-    docs = views.table(spark, sf, "documents")
-    hits = redaction_hits(F.col("text"))
-    return docs.select(
-        "doc_id",
-        F.md5(redact_text(F.col("text"))).alias("safe_md5"),
-        *[c.cast("long").alias(n) for n, c in hits.items()],
-    )
+    return _redacted(views.table(spark, sf, "documents"))
 
 
 @query
@@ -530,12 +529,7 @@ def redacted_secrets(spark, sf):
         "sk-abcdefgh12345678", "ghp_abcdefgh123456", "no secret",
     )
     text = F.concat("text", F.lit(" "), secret, F.lit(" cookie= c\n"), "text")
-    hits = redaction_hits(text)
-    return docs.select(
-        "doc_id",
-        F.md5(redact_text(text)).alias("safe_md5"),
-        *[c.cast("long").alias(n) for n, c in hits.items()],
-    )
+    return _redacted(docs.withColumn("text", text))
 
 
 @query

@@ -313,14 +313,24 @@ SELECT page_id, domain, 'author_category_headline_published_date' AS schema_name
 ORACLE["batch_run_strategy"] = f"""
 WITH {RUN}, {RUN_SCORE}, h AS (SELECT page_id AS id, domain, TIMESTAMP '2024-02-01' AS ts, score AS q FROM s),
 {PROFILES} SELECT * FROM p"""
+# The same run with learned rules: the text, and so the thin-page check, comes after them.
+RULED = f"""{MARKED}, {PAGE_RULES},
+j AS (SELECT m.*, base, base % 20 <> 0 AS tag_rule, {_cookie(_hidden("html"))} AS html1
+  FROM (SELECT *, {URL_DOMAIN} AS domain FROM marked) m JOIN base USING (domain)),
+j2 AS (SELECT *, {_no_promo(_no_ad("html1"))} AS html2 FROM j),
+j3 AS (SELECT *, CASE WHEN tag_rule THEN {_no_h1("html2")} ELSE html2 END AS html3 FROM j2),
+t AS (SELECT *, {visible("html3")} AS text FROM j3),
+ok AS (SELECT *, string_split(text, chr(10)) AS lines FROM t WHERE NOT contains(lower(html), 'g-recaptcha') AND length(text) >= 50),
+rec AS (SELECT page_id, url, domain, lines[1] AS headline, lines[len(lines)] AS summary,
+  regexp_extract(url, '^(https?://[^/]*)', 1) || '/a' AS link FROM ok)"""
 ORACLE["batch_run_rules"] = f"""
-WITH {RUN}, {RUN_SCORE}, {PAGE_RULES},
+WITH {RULED}, {RUN_SCORE},
 h AS (SELECT page_id AS id, domain, TIMESTAMP '2024-01-01' AS ts, 0.9::DOUBLE AS q FROM s),
 {PROFILES},
 old AS (SELECT base + 1 AS id, domain, base, 'class' AS rule_type, 'ad' AS selector, 'active' AS status FROM base
   UNION ALL SELECT base + 2, domain, base, 'id', 'promo', 'active' FROM base
   UNION ALL SELECT base + 3, domain, base, 'tag', 'h1', CASE WHEN base % 20 = 0 THEN 'candidate' ELSE 'active' END FROM base),
-use_ AS (SELECT o.id, o.status, ok.page_id FROM old o JOIN (SELECT page_id, domain, {_cookie(_hidden("html"))} AS html FROM ok) ok USING (domain)
+use_ AS (SELECT o.id, o.status, ok.page_id FROM old o JOIN (SELECT page_id, domain, html1 AS html FROM ok) ok USING (domain)
   WHERE o.status = 'active' AND ((selector = 'ad' AND contains(html, 'class="ad"')) OR (selector = 'promo' AND contains(html, 'id="promo"')) OR (selector = 'h1' AND contains(html, '<h1>')))),
 outc AS (SELECT use_.id, page_id, s.score AS quality, p.avg_quality AS base_quality FROM use_ JOIN s USING (page_id) JOIN p USING (domain)),
 fold AS (SELECT id, count(*) AS n, count(*) FILTER (quality < base_quality - 0.05) AS down, arg_max(quality, page_id) AS last_quality FROM outc GROUP BY id),
