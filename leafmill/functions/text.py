@@ -24,6 +24,17 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def fold_case(c: Column) -> Column:
+    """Text for comparison without case: texts fold to the same exactly when Unicode
+    case folding makes them equal.
+
+    Upper case first, so that sharp s and its like meet their pairs. The capital sharp
+    s has no other upper case, and the dotless i must not become a plain one.
+    """
+    kept = F.translate(c, "\u0131", "\ue131")
+    return F.lower(F.replace(F.upper(kept), F.lit("\u1e9e"), F.lit("SS")))
+
+
 def url_domain(url: Column) -> Column:
     """Network location of a URL: user info, port and case are kept."""
     return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)

@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 
 from leafmill import fixed_values as fv
 from leafmill.functions.numbers import round_exact
-from leafmill.functions.text import is_present, strip
+from leafmill.functions.text import fold_case, is_present, strip
 from leafmill.functions.validate import field_error, possible_errors
 
 Schema = dict[str, Any]
 
 
-def _fold_case(c: Column) -> Column:
-    """Case folding: upper first, so that sharp s and its like meet their pairs."""
-    return F.lower(F.upper(c))
-
-
 def identity(rec: Column, schema: Schema) -> Column:
     """What tells two records apart.
 
@@ -34,7 +29,7 @@ def identity(rec: Column, schema: Schema) -> Column:
     value = F.when(
         F.map_contains_key(rec, field), F.coalesce(rec[field], F.lit("None"))
     ).otherwise("")
-    text = _fold_case(strip(value))
+    text = fold_case(strip(value))
     return F.when(text != "", text)
 
 
@@ -58,7 +53,7 @@ def record_measures(records: DataFrame, schema: Schema) -> DataFrame:
     for i, (field, spec) in enumerate(schema.items()):
         text = F.col(f"t{i}")
         present = is_present(text, stripped=True)
-        telling = (F.length(text) > 1) & (_fold_case(text) != _fold_case(F.lit(field)))
+        telling = (F.length(text) > 1) & (fold_case(text) != fold_case(F.lit(field)))
         filled.append(present.cast("int"))
         basic.append((present & telling).cast("int"))
         errors[f"x{i}"] = field_error(field, text, spec, stripped=True)
