@@ -243,11 +243,12 @@ def clean_html_udf(profile: str = "standard"):
         applied = _apply_rules(tree, rules) if rules else []
         return {"text": tree.text(), "applied_rule_ids": applied, "noise": noise}
 
-    @F.arrow_udf(CLEAN_SCHEMA)
     def clean_html(html: pa.Array, rules: pa.Array) -> pa.Array:
         return pa.array(
             [clean(h or "", r) for h, r in zip(html.to_pylist(), rules.to_pylist())],
             _CLEAN_TYPE,
         )
 
-    return clean_html
+    # Called non-deterministic so that a later filter on the text is not pushed below
+    # this step as a second copy of it: every page is parsed once.
+    return F.arrow_udf(clean_html, CLEAN_SCHEMA).asNondeterministic()

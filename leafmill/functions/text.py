@@ -139,8 +139,7 @@ def schema_name_of(fields: Iterable[str]) -> str:
     return "_".join(sorted(fields)[:4])
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _join_urls(base: pa.Array, links: pa.Array) -> pa.Array:
+def _join_urls_batch(base: pa.Array, links: pa.Array) -> pa.Array:
     def join(b, u):
         try:
             return urljoin(b, u)
@@ -156,6 +155,10 @@ def _join_urls(base: pa.Array, links: pa.Array) -> pa.Array:
     )
 
 
+# Non-deterministic in name only: a filter on the result must not copy the call.
+_join_urls = F.arrow_udf(_join_urls_batch, ArrayType(StringType())).asNondeterministic()
+
+
 def resolve_links(
     records: DataFrame, *, rec: str = "rec", base: str = "url", compat: bool = False
 ) -> DataFrame:

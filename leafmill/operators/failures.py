@@ -290,7 +290,7 @@ def recovery_events(plan: DataFrame) -> DataFrame:
         F.concat(F.array(opened), walked, closing)
     )
     return plan.select(
-        "job_id", "ts", "id", "scenario", F.posexplode(events).alias("seq", "_e")
+        "job_id", "ts", "id", "scenario", F.posexplode_outer(events).alias("seq", "_e")
     ).select("job_id", "ts", "id", "seq", "_e.event", "scenario", "_e.step", "_e.result", "_e.detail")
 
 

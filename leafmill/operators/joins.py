@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 32_000_000
 SALTS = 32
 
 
+def is_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS
+) -> bool:
+    """Does ``df`` stay below both bounds? Reads at most ``max_rows + 1`` rows.
+
+    ``df`` should be a stored table or a ``stage``: it is read again by the join.
+    """
+    sizes = (
+        df.limit(max_rows + 1)
+        .agg(
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars"),
+        )
+        .first()
+    )
+    return sizes["rows"] <= max_rows and sizes["chars"] <= max_chars
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -16,29 +36,35 @@ def lookup_join(
     how: str = "left",
     *,
     max_rows: int = BROADCAST_ROWS,
-    proven_small: bool = False,
 ) -> DataFrame:
     """Join ``big`` with a table that has at most one row per key.
 
-    The lookup is broadcast when it is known to be small (``proven_small``: its size
-    is a constant of the program or of the partition count) or when a count that
-    stops at ``max_rows`` shows it. Beyond that the join is salted: every lookup row
-    is repeated once per salt, so a key that holds a third of ``big`` is spread over
-    ``SALTS`` tasks.
+    A lookup that was measured to be small is broadcast, and ``big`` does not move.
+    Beyond that the join is salted: every lookup row is repeated once per salt, so a
+    key that holds a third of ``big`` is spread over ``SALTS`` tasks.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    if proven_small or lookup.limit(max_rows + 1).count() <= max_rows:
+    if is_small(lookup, max_rows):
         return big.join(F.broadcast(lookup), on, how)
     return salted_join(big, lookup, on, how)
 
 
+def _salt(big: DataFrame, on: list[str], salts: int) -> Column:
+    """Salt from the row's own values, so that a repeated task gives the same one.
+
+    Numbers and times are enough where there are any; long texts are not hashed.
+    """
+    others = [f for f in big.schema if f.name not in on]
+    plain = (NumericType, DateType, TimestampType, TimestampNTZType)
+    slim = [f.name for f in others if isinstance(f.dataType, plain)]
+    return F.pmod(F.xxhash64(*(slim or [f.name for f in others] or on)), F.lit(salts))
+
+
 def salted_join(
     big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or on), salts)
-    left = big.withColumn("_salt", salt)
-    right = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
+    left = big.withColumn("_salt", _salt(big, on, salts))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    right = lookup.withColumn("_salt", F.explode(every))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from leafmill.session import shared_dir
+from leafmill.session import shared_dir, stage
 
 
 class Part(NamedTuple):
@@ -284,14 +284,14 @@ def fold_lists(
 
     Every chunk first starts from an empty list. A chunk that continues a key is walked
     again from the list its predecessor really ended with, until no starting list
-    changes any more. Short lists forget where they started, so two or three rounds are
+    changes any more; the other chunks are not touched again. Short lists forget where they started, so two or three rounds are
     the rule, and the result is exact whenever the rounds end. The driver sees at most
     two short lists per partition.
     """
     rows = chunked(df.select(*keys, *order, value), keys, order)
     sc = df.sparkSession.sparkContext
 
-    def pass_over(entries: dict[int, list]) -> DataFrame:
+    def pass_over(part_of: DataFrame, entries: dict[int, list]) -> DataFrame:
         shared = sc.broadcast(entries)
 
         def new(continues: bool) -> dict:
@@ -308,11 +308,11 @@ def fold_lists(
         part = Part(
             "_s", "struct<continues:boolean,list:array<string>>", ["_chunk", value], new, absorb
         )
-        return summarise(rows, keys, [part])
+        return summarise(part_of, keys, [part])
 
+    result = stage(pass_over(rows, {}), "lists")
     entries: dict[int, list] = {}
     while True:
-        result = pass_over(entries)
         # First and last stretch of every chunk; a stretch may be both.
         edges = (
             result.groupBy("_chunk")
@@ -327,7 +327,11 @@ def fold_lists(
         for before, here in zip(edges, edges[1:]):
             if all(before["last"][k] == here["first"][k] for k in keys):
                 found[here["_chunk"]] = list(before["last"]["list"])
-        if found == entries:
+        stale = [c for c, state in found.items() if entries.get(c, []) != state]
+        if not stale:
             break
         entries = found
+        again = pass_over(rows.where(F.col("_chunk").isin(stale)), entries)
+        good = result.where(~F.col("_chunk").isin(stale))
+        result = stage(good.unionByName(again), "lists")
     return result.groupBy(*keys).agg(F.max_by("_s.list", "_chunk").alias("_list"))

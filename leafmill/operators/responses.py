@@ -64,9 +64,12 @@ def response_records(
 
     With ``pages`` (page_id, url) link fields are made absolute.
     """
-    # Failed responses have no records and fall out here; a filter on the error would
-    # be pushed below the parser and parse everything twice.
-    out = parsed.select("page_id", F.posexplode("records").alias("rec_ord", "rec"))
+    # Failed responses have no records and fall out after the outer explode. A filter
+    # on the error, or the one Spark derives from a plain explode, would be pushed
+    # below the parser and parse everything twice.
+    out = parsed.select("page_id", F.posexplode_outer("records").alias("rec_ord", "rec")).where(
+        "rec_ord is not null"
+    )
     if pages is not None:
         out = out.join(pages.select("page_id", "url"), "page_id").select(
             "page_id", "url", "rec_ord", "rec"

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill import fixed_values as fv
-from leafmill.functions.text import resolve_links, schema_name_of, url_domain
+from leafmill.functions.text import resolve_links, schema_name_of, strip, url_domain
 from leafmill.operators import cleaning, requests, responses, rules, scoring
 from leafmill.operators.profiles import fold_profiles
+from leafmill.operators.prompts import judge_candidates, save_candidates
 from leafmill.session import stage
 
 
@@ -71,6 +72,100 @@ def finish_run(
     return Run(cleaned, reqs, records, failed, quality, retry)
 
 
+class Refined(NamedTuple):
+    choice: DataFrame
+    records: DataFrame
+    quality: DataFrame
+    prompts: DataFrame | None
+
+
+def retry_requests(
+    run: Run,
+    schema: dict[str, Any],
+    *,
+    instructions: str = "",
+    candidates: DataFrame | None = None,
+) -> DataFrame:
+    """Second requests for the pages whose score calls for one.
+
+    ``candidates`` (page_id, extra_instructions) are model-written instructions; a page
+    without one gets the text for its first issue.
+    """
+    told = run.retry.select("page_id", F.col("extra_instructions").alias("_told"))
+    if candidates is not None:
+        written = candidates.select("page_id", F.col("extra_instructions").alias("_written"))
+        told = told.join(written, "page_id", "left").select(
+            "page_id", F.coalesce("_written", "_told").alias("_told")
+        )
+    heading = F.concat(
+        F.lit(f"{instructions}\n\n{fv.CANDIDATE_HEADING}\n"), F.col("_told")
+    )
+    pages = run.cleaned.select("page_id", "text").join(told, "page_id")
+    return requests.extraction_requests(pages, schema, strip(heading))
+
+
+def finish_retry(
+    run: Run,
+    answered: DataFrame,
+    schema: dict[str, Any],
+    ts: F.Column,
+    *,
+    candidates: DataFrame | None = None,
+    prompts: DataFrame | None = None,
+    minimum_improvement: float = fv.MINIMUM_IMPROVEMENT,
+) -> Refined:
+    """Score the second answers and keep each page's better records.
+
+    A retry that cannot be parsed changes nothing. ``candidates`` (page_id,
+    extra_instructions, latency_ms, input_tokens, output_tokens) become prompt rows,
+    judged by what their pages gained; their cost includes the retry's. ``quality``
+    holds the scores of the retries: they are further rows of the history.
+    """
+    parsed = stage(responses.parse_responses(answered), "retry-parsed")
+    places = run.quality.select("page_id", "url", "domain", "schema_name")
+    usable = parsed.where(F.col("error_type").isNull()).select("page_id")
+    records = responses.response_records(parsed, places)
+    quality = stage(
+        scoring.score_records(
+            records, schema, places.join(usable, "page_id", "left_semi")
+        ),
+        "retry-quality",
+    )
+    choice = scoring.choose_refined(run.quality, quality, minimum_improvement)
+    kept = scoring.kept_records(
+        choice,
+        run.records.select("page_id", "rec_ord", "rec", "rec_json"),
+        records.select("page_id", "rec_ord", "rec", "rec_json"),
+    )
+    judged = None
+    if candidates is not None:
+        cost = parsed.select(
+            "page_id",
+            *[F.col(c).alias(f"_{c}") for c in ("latency_ms", "input_tokens", "output_tokens")],
+        )
+        tried = choice.where("candidate_quality is not null").join(candidates, "page_id")
+        rows = tried.join(cost, "page_id").join(places.drop("url"), "page_id").select(
+            F.col("page_id").alias("id"),
+            ts.alias("ts"),
+            "domain",
+            "schema_name",
+            "extra_instructions",
+            "baseline_quality",
+            F.lit(minimum_improvement).alias("minimum_improvement"),
+            *[
+                (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+                for c in ("latency_ms", "input_tokens", "output_tokens")
+            ],
+            F.lit(0).cast("long").alias("times_used"),
+        )
+        saved = save_candidates(rows, prompts)
+        measured = quality.select(
+            F.col("page_id").alias("id"), F.col("score").alias("quality")
+        )
+        judged = judge_candidates(saved, measured)
+    return Refined(choice, kept, quality, judged)
+
+
 def batch_records(run: Run) -> DataFrame:
     """Records of all pages with the URL they come from as one more field."""
     source = F.create_map(F.lit("_source_url"), F.col("_source_url"))
@@ -145,7 +240,11 @@ def link_records(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"),
         F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("url"),
     )
-    found = pages.select("page_id", "url", title.alias("_title"), F.posexplode(links).alias("rec_ord", "_l"))
+    # Outer, then without the empty ones: the filter that Spark derives from a plain
+    # explode would search every page a second time.
+    found = pages.select(
+        "page_id", "url", title.alias("_title"), F.posexplode_outer(links).alias("rec_ord", "_l")
+    ).where("rec_ord is not null")
     rec = F.create_map(
         F.lit("text"), F.col("_l.text"), F.lit("url"), F.col("_l.url"),
         F.lit("context"), F.col("_title"),

@@ -480,6 +480,94 @@ def batch_run_rules(spark, sf):
     )
 
 
+def _second_extractor(batches):
+    """A model that was told what to look for: more fields, and two records."""
+    import json
+
+    for batch in batches:
+        lines = [t.split("\n") for t in batch["user_content"]]
+        yield pd.DataFrame(
+            {
+                "page_id": batch["page_id"],
+                "raw_output": [
+                    "no answer"
+                    if i % 5 == 0
+                    else json.dumps(
+                        [
+                            {"headline": x[0], "author": "A. Writer", "published_date": "2024-01-15",
+                             "summary": x[-1], "url": f"/{k}", "category": "news"}
+                            for k in range(1 + i % 2)
+                        ]
+                    )
+                    for i, x in zip(batch["page_id"], lines)
+                ],
+                "input_tokens": 7,
+                "output_tokens": 3,
+                "latency_ms": 2.0,
+                "model": "second",
+            }
+        )
+
+
+def _poor_extractor(batches):
+    import json
+
+    for batch in batches:
+        yield pd.DataFrame(
+            {
+                "page_id": batch["page_id"],
+                "raw_output": [json.dumps([{"headline": "x"}])] * len(batch),
+                "input_tokens": 5,
+                "output_tokens": 1,
+                "latency_ms": 1.0,
+                "model": "poor",
+            }
+        )
+
+
+@query
+def refined_run(spark, sf):
+    """A poor first run, then measured retries with written instructions."""
+    schema = fv.SCHEMAS["ARTICLES"]
+    cleaned, reqs = extraction.build_requests(views.pages(spark, sf), schema)
+    run = extraction.finish_run(
+        cleaned, reqs, requests.run_extractor(reqs, _poor_extractor), schema
+    )
+    written = run.quality.select(
+        "page_id",
+        F.concat(F.lit("Look for the headline of "), "domain").alias("extra_instructions"),
+        F.lit(4.0).alias("latency_ms"),
+        F.lit(20).cast("long").alias("input_tokens"),
+        F.lit(2).cast("long").alias("output_tokens"),
+    )
+    again = extraction.retry_requests(run, schema, candidates=written)
+    out = extraction.finish_retry(
+        run,
+        requests.run_extractor(again, _second_extractor),
+        schema,
+        F.lit("2024-02-01").cast("timestamp"),
+        candidates=written,
+    )
+    kept = out.records.groupBy("page_id").agg(F.count("*").alias("n_records"))
+    judged = out.prompts.select(
+        F.col("id").alias("page_id"), "version", "status", "latency_ms", "input_tokens"
+    )
+    told = again.select("page_id", F.md5("system_prompt").alias("prompt_md5"))
+    return (
+        out.choice.join(kept, "page_id")
+        .join(judged, "page_id", "left")
+        .join(told, "page_id")
+        .select(
+            "page_id", "baseline_quality",
+            F.coalesce("candidate_quality", F.lit(-1.0)).alias("candidate_quality"),
+            "accepted", "n_records", F.coalesce("version", F.lit(0)).cast("long").alias("version"),
+            F.coalesce("status", F.lit("")).alias("status"),
+            F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"),
+            F.coalesce("input_tokens", F.lit(0)).cast("long").alias("input_tokens"), "prompt_md5",
+        )
+    )
+
+
 # --- scalar functions ----------------------------------------------------------
 @query
 def url_domains(spark, sf):
@@ -644,12 +732,13 @@ def _profile_columns(p: DataFrame) -> DataFrame:
 
 
 def _profiles(spark, sf) -> DataFrame:
-    return profiles.fold_profiles(views.history(spark, sf))
+    """The profile table as a run finds it: stored."""
+    return stage(profiles.fold_profiles(views.history(spark, sf)), "profiles")
 
 
 @query
 def domain_profiles(spark, sf):
-    return _profile_columns(_profiles(spark, sf))
+    return _profile_columns(profiles.fold_profiles(views.history(spark, sf)))
 
 
 @query
@@ -866,9 +955,10 @@ def page_settings(spark, sf):
         .otherwise(F.concat(F.lit("c"), F.col("user_id") % 120, F.lit(".example.org")))
         .alias("domain"),
     )
-    made = rules.fold_evidence(views.evidence_rows(spark, sf))
+    made = stage(rules.fold_evidence(views.evidence_rows(spark, sf)), "rules")
+    judged = stage(_judged(spark, sf), "prompts")
     out = requests.page_settings(
-        pages, _profiles(spark, sf), _judged(spark, sf), made, "1-URGENT", default_wait=4.0
+        pages, _profiles(spark, sf), judged, made, "1-URGENT", default_wait=4.0
     )
     return out.select(
         "event_id", "wait_seconds", "learned", "extra_instructions",

@@ -32,12 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder: on a cluster that folder would not be visible to all executors.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="leafmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

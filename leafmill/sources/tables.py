@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,40 +100,46 @@ def upgrade(df: DataFrame, name: str) -> DataFrame:
     return df.select(*out)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions below ``path``, through Spark's own file system layer."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(m[1]))
-    return sorted(found)
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest complete version of a strategy table; empty when there is none."""
-    versions = _versions(spark, f"{root}/{name}")
-    if not versions:
+def newest_version(
+    spark: SparkSession, root: str, name: str, below: int | None = None
+) -> int | None:
+    """The highest version in the log of complete versions."""
+    try:
+        log = spark.read.schema("version long").json(f"{root}/{name}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if below is not None:
+        log = log.where(F.col("version") < below)
+    return log.agg(F.max("version")).first()[0]
+
+
+def read_table(
+    spark: SparkSession, root: str, name: str, version: int | None = None
+) -> DataFrame:
+    """A version of a strategy table, the newest by default; empty when there is none."""
+    if version is None:
+        version = newest_version(spark, root, name)
+    if version is None:
         return spark.createDataFrame([], layout(name))
-    return upgrade(spark.read.parquet(f"{root}/{name}/v{versions[-1]}"), name)
+    return upgrade(spark.read.parquet(f"{root}/{name}/v{version}"), name)
 
 
 def write_table(df: DataFrame, root: str, name: str, version: int | None = None) -> int:
     """Write the next version beside the one that may still be read.
 
-    A version counts once its ``_SUCCESS`` file is there, so a job that dies half way
-    leaves the old version in force. A given ``version`` is overwritten: a repeated
-    micro-batch writes the same result again.
+    A version counts once it is in the log, so a job that dies half way leaves the old
+    version in force. A given ``version`` is overwritten: a repeated micro-batch writes
+    the same result again.
     """
     spark = df.sparkSession
     if version is None:
-        version = max(_versions(spark, f"{root}/{name}"), default=-1) + 1
+        last = newest_version(spark, root, name)
+        version = 0 if last is None else last + 1
     upgrade(df, name).write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
+    done = spark.createDataFrame([(version,)], "version long").coalesce(1)
+    done.write.mode("append").json(f"{root}/{name}/log")
     return version
 
 

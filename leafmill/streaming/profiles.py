@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators.profiles import fold_profiles
-from leafmill.sources.tables import _versions, read_table, upgrade, write_table
+from leafmill.sources.tables import newest_version, read_table, write_table
 
 
 def profile_updater(root: str) -> Callable[[DataFrame, int], None]:
@@ -22,11 +22,10 @@ def profile_updater(root: str) -> Callable[[DataFrame, int], None]:
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = [v for v in _versions(spark, f"{root}/domain_profiles") if v < batch_id]
+        older = newest_version(spark, root, "domain_profiles", below=batch_id)
         prior = None
-        if older:
-            path = f"{root}/domain_profiles/v{older[-1]}"
-            prior = upgrade(spark.read.parquet(path), "domain_profiles")
+        if older is not None:
+            prior = read_table(spark, root, "domain_profiles", older)
         write_table(fold_profiles(batch, prior), root, "domain_profiles", version=batch_id)
 
     return update

@@ -242,7 +242,7 @@ def test_tables_keep_versions_and_upgrade(spark, tmp_path):
     assert tables.write_table(old.withColumn("wait_seconds", F.lit(9.0)), root, "domain_profiles") == 1
     assert tables.read_table(spark, root, "domain_profiles").first()["wait_seconds"] == 9.0
     half = tmp_path / "domain_profiles" / "v2"
-    half.mkdir()
+    half.mkdir()  # a version that was never finished is not in the log
     assert tables.read_table(spark, root, "domain_profiles").first()["wait_seconds"] == 9.0
     old_history = spark.createDataFrame([(1, "a")], "id long, domain string")
     up = tables.upgrade(old_history, "extraction_history").first()
