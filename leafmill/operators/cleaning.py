@@ -70,15 +70,22 @@ def is_thin(text: Column) -> Column:
     return F.length(text) < fv.THIN_PAGE_CHARS
 
 
+def _stop() -> Column:
+    """Error type of a page that stops before extraction, else null."""
+    return (
+        F.when(F.col("domain") == "", "ValueError")
+        .when(F.col("challenge").isNotNull(), "UnsupportedChallengeError")
+        .when(is_thin(F.col("text")), "EmptyPageError")
+    )
+
+
 def page_failures(cleaned: DataFrame) -> DataFrame:
-    """Pages that stop before extraction, with the error type the classifier expects."""
+    """Pages that stop before extraction, with the error type the classifier expects.
+
+    A URL without a host is an error of its own; it is found before the page is read.
+    """
     return (
-        cleaned.withColumn(
-            "error_type",
-            F.when(F.col("challenge").isNotNull(), "UnsupportedChallengeError").when(
-                is_thin(F.col("text")), "EmptyPageError"
-            ),
-        )
+        cleaned.withColumn("error_type", _stop())
         .where(F.col("error_type").isNotNull())
         .select(
             "page_id",
@@ -91,7 +98,7 @@ def page_failures(cleaned: DataFrame) -> DataFrame:
 
 
 def extractable(cleaned: DataFrame) -> DataFrame:
-    return cleaned.where(F.col("challenge").isNull() & ~is_thin(F.col("text")))
+    return cleaned.where(_stop().isNull())
 
 
 def bounded(text: Column, limit: Column | int = fv.CONTENT_CHARS) -> Column:

@@ -303,9 +303,11 @@ def memory_stats(
     )
     rule_counts = rules.agg(_count_where(status == "active").alias("active_cleaning_rules"))
     notes = feedback.agg(F.count("*").alias("total_feedback"))
-    # Four one-row aggregates side by side, joined on a constant.
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    out = one(scrapes)
-    for part in (prompt_counts, rule_counts, notes):
-        out = out.join(F.broadcast(one(part)), "_one")
-    return out.drop("_one")
+    one_value = lambda df, name: df.select(name).scalar().alias(name)
+    return scrapes.select(
+        "*",
+        one_value(prompt_counts, "total_refinements"),
+        one_value(prompt_counts, "candidate_refinements"),
+        one_value(rule_counts, "active_cleaning_rules"),
+        one_value(notes, "total_feedback"),
+    )

@@ -139,7 +139,7 @@ def fold_evidence(
             F.col("reason").alias("_reason0"),
         )
         joined = summed.join(old, KEY, "full")
-        last_id = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last_id"))
+        last_id = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last_id")).scalar()
         # Older evidence comes before every new row, in its own order.
         before = rules.select(*KEY, F.posexplode("evidence").alias("_id", "evidence"))
         seeds = seeds.unionByName(
@@ -188,12 +188,7 @@ def fold_evidence(
     )
     if last_id is None:
         return new.drop("id0", "_first_ts", "_first_id")
-    new = (
-        new.withColumn("_one", F.lit(1))
-        .join(F.broadcast(last_id.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("id", F.col("id") + F.col("_last_id"))
-        .drop("_one", "_last_id")
-    )
+    new = new.withColumn("id", F.col("id") + last_id)
     known = out.where("id0 is not null").withColumn("id", F.col("id0"))
     return new.unionByName(known).drop("id0", "_first_ts", "_first_id")
 

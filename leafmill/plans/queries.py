@@ -168,6 +168,43 @@ def table_upgrade(spark, sf):
     )
 
 
+@query
+def legacy_history_import(spark, sf):
+    """History as the older row store kept it: seconds, joined issues, fewer columns."""
+    rows = views.history(spark, sf)
+    old = rows.select(
+        "id", "domain", "schema_name", "quality_score",
+        F.array_join("issues", ", ").alias("error"),
+        (F.unix_micros("ts") / 1_000_000).alias("timestamp"),
+    )
+    back = tables.import_legacy(old, "extraction_history")
+    return back.groupBy("domain").agg(
+        F.count("*").alias("n"),
+        F.sum(F.size("issues")).cast("long").alias("issues"),
+        F.sum(milli(F.col("quality_score"))).alias("milli_quality"),
+        F.min(F.date_trunc("second", "ts").cast("long")).alias("first_second"),
+        F.sum("uncertainty").alias("uncertainty"),
+    )
+
+
+@query
+def legacy_rules_import(spark, sf):
+    """Rules of the older row store, from their evidence as a JSON list."""
+    rows = views.evidence_rows(spark, sf)
+    old = rows.where("rule_type <> 'xpath'").select(
+        "id", "domain", "rule_type", "selector", "confidence",
+        F.to_json(F.array("evidence", "reason")).alias("supporting_evidence"),
+        F.unix_timestamp("ts").cast("double").alias("created_at"),
+        F.lit(0.0).alias("updated_at"),
+    )
+    return tables.import_legacy(old, "cleaning_rules").select(
+        "id", "domain", "selector", "status", "evidence_count",
+        F.array_join("evidence", "|").alias("evidence"),
+        F.col("created_at").cast("long").alias("created_second"),
+        F.col("updated_at").isNull().alias("never_updated"),
+    )
+
+
 @query
 def feedback_to_rules(spark, sf):
     """Feedback rows with rule wishes in their details, some of them unusable."""

@@ -100,6 +100,34 @@ def upgrade(df: DataFrame, name: str) -> DataFrame:
     return df.select(*out)
 
 
+def import_legacy(df: DataFrame, name: str) -> DataFrame:
+    """Rows of the older row store in the present layout.
+
+    There, times are seconds since 1970 (0 for never), issues a comma-joined text, and
+    pieces of evidence a JSON list. Columns that did not exist yet get their defaults.
+    """
+    renamed = {"timestamp": "ts", "error": "issues", "supporting_evidence": "evidence"}
+    kinds = {c: t for c, t, _ in LAYOUTS[name]}
+    out = {}
+    for column in df.columns:
+        target = renamed.get(column, column)
+        if name == "prompt_refinements" and column == "created_at":
+            target = "ts"
+        kind, value = kinds.get(target), F.col(column)
+        if kind is None:
+            continue
+        if kind == "timestamp":
+            value = F.when(value > 0, F.timestamp_micros((value * 1_000_000).cast("long")))
+        elif column == "error":
+            value = F.filter(F.split(F.coalesce(value, F.lit("")), ", "), lambda i: i != "")
+        elif column == "supporting_evidence":
+            value = F.coalesce(
+                F.from_json(value, kind), F.array().cast(kind)
+            )
+        out[target] = value.alias(target)
+    return upgrade(df.select(*out.values()), name)
+
+
 def newest_version(
     spark: SparkSession, root: str, name: str, below: int | None = None
 ) -> int | None:

@@ -120,6 +120,9 @@ WITH {HIST}
 SELECT domain, count(*) AS n, count(*)::DOUBLE AS uncertainty, sum(len(issues))::BIGINT AS issues,
   sum(round(q * 1000))::BIGINT AS milli_quality, epoch_us(max(ts)) AS last_us
 FROM h GROUP BY domain"""
+ORACLE["legacy_history_import"] = f"""
+WITH {HIST} SELECT domain, count(*) AS n, sum(len(issues))::BIGINT AS issues, sum(round(q * 1000))::BIGINT AS milli_quality,
+  (epoch_us(min(ts)) // 1000000)::BIGINT AS first_second, count(*)::DOUBLE AS uncertainty FROM h GROUP BY domain"""
 ORACLE["domain_profiles"] = f"WITH {HIST}, {PROFILES} SELECT * FROM p"
 ORACLE["strategy_table_versions"] = ORACLE["domain_profiles"]
 ORACLE["streaming_profiles"] = ORACLE["domain_profiles"]
@@ -559,6 +562,9 @@ made AS (SELECT *, CASE WHEN any_explicit THEN 'active' WHEN n >= 2 AND conf >=
 ORACLE["rule_evidence"] = f"""
 WITH {EVIDENCE} SELECT id, domain, rule_type, selector, round(conf, 6) AS confidence, evidence_count::BIGINT AS evidence_count, status, reason,
   array_to_string(kept, ',') AS evidence, epoch_us(created) AS created_us FROM made"""
+ORACLE["legacy_rules_import"] = f"""
+WITH {EVIDENCE} SELECT id, domain, selector, 'candidate' AS status, 0::BIGINT AS evidence_count, evidence || '|' || reason AS evidence,
+  (epoch_us(ts) // 1000000)::BIGINT AS created_second, true AS never_updated FROM ev WHERE rule_type <> 'xpath'"""
 ORACLE["rule_evidence_continued"] = ORACLE["rule_evidence"]
 ORACLE["rejected_evidence"] = f"""
 WITH {EVIDENCE} SELECT domain, rule_type, count(*) AS n FROM ev WHERE rule_type = 'xpath' GROUP BY ALL"""
