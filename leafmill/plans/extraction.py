@@ -240,10 +240,12 @@ def link_records(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"),
         F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("url"),
     )
-    # Outer, then without the empty ones: the filter that Spark derives from a plain
-    # explode would search every page a second time.
-    found = pages.select(
-        "page_id", "url", title.alias("_title"), F.posexplode_outer(links).alias("rec_ord", "_l")
+    # Title and links first, so that html ends below the explode. Outer, then without
+    # the empty ones: the filter that Spark derives from a plain explode would search
+    # every page a second time.
+    read = pages.select("page_id", "url", title.alias("_title"), links.alias("_links"))
+    found = read.select(
+        "page_id", "url", "_title", F.posexplode_outer("_links").alias("rec_ord", "_l")
     ).where("rec_ord is not null")
     rec = F.create_map(
         F.lit("text"), F.col("_l.text"), F.lit("url"), F.col("_l.url"),
