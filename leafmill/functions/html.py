@@ -220,32 +220,45 @@ CLEAN_SCHEMA = (
 )
 
 
+_DROPPED = set(fv.DROPPED_TAGS)
+_PROFILES = {
+    "standard": (
+        re.compile("|".join(fv.OVERLAY_CLASSES), re.I),
+        re.compile(fv.HIDDEN_STYLE, re.I),
+    ),
+    "compat": (
+        re.compile("|".join(fv.OVERLAY_CLASSES_COMPAT), re.I),
+        re.compile(fv.HIDDEN_STYLE),
+    ),
+}
+
+
+def clean_page(html: str, rules: list[dict] | None = None, profile: str = "standard") -> dict:
+    """Visible text, applied rule ids and noise classes of one page."""
+    overlay, hidden = _PROFILES[profile]
+    tree = PageTree(html)
+    noise = _noise(tree)
+    for i, name in enumerate(tree.names):
+        attrs = tree.attrs[i]
+        if (
+            name in _DROPPED
+            or (attrs.get("style") and hidden.search(attrs["style"]))
+            or (attrs.get("class") and overlay.search(attrs["class"]))
+        ):
+            tree.remove(i)
+    applied = _apply_rules(tree, rules) if rules else []
+    return {"text": tree.text(), "applied_rule_ids": applied, "noise": noise}
+
+
 def clean_html_udf(profile: str = "standard"):
     """Arrow UDF ``(html, rules) -> struct``; ``profile='compat'`` is the older variant."""
-    compat = profile == "compat"
-    overlay = re.compile(
-        "|".join(fv.OVERLAY_CLASSES_COMPAT if compat else fv.OVERLAY_CLASSES), re.I
-    )
-    hidden = re.compile(fv.HIDDEN_STYLE, 0 if compat else re.I)
-    dropped = set(fv.DROPPED_TAGS)
-
-    def clean(html: str, rules: list[dict] | None) -> dict:
-        tree = PageTree(html)
-        noise = _noise(tree)
-        for i, name in enumerate(tree.names):
-            attrs = tree.attrs[i]
-            if (
-                name in dropped
-                or (attrs.get("style") and hidden.search(attrs["style"]))
-                or (attrs.get("class") and overlay.search(attrs["class"]))
-            ):
-                tree.remove(i)
-        applied = _apply_rules(tree, rules) if rules else []
-        return {"text": tree.text(), "applied_rule_ids": applied, "noise": noise}
 
     def clean_html(html: pa.Array, rules: pa.Array) -> pa.Array:
         return pa.array(
-            [clean(h or "", r) for h, r in zip(html.to_pylist(), rules.to_pylist())],
+            [
+                clean_page(h or "", r, profile)
+                for h, r in zip(html.to_pylist(), rules.to_pylist())
+            ],
             _CLEAN_TYPE,
         )
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+
+from leafmill.session import stage
 
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 32_000_000
-SALTS = 32
+HOT_ROWS = 1_000_000
 
 
 def is_small(
@@ -36,35 +37,35 @@ def lookup_join(
     how: str = "left",
     *,
     max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` with a table that has at most one row per key.
 
     A lookup that was measured to be small is broadcast, and ``big`` does not move.
-    Beyond that the join is salted: every lookup row is repeated once per salt, so a
-    key that holds a third of ``big`` is spread over ``SALTS`` tasks.
+    Beyond that, see ``hot_key_join``.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     if is_small(lookup, max_rows):
         return big.join(F.broadcast(lookup), on, how)
-    return salted_join(big, lookup, on, how)
+    return hot_key_join(big, lookup, on, how, hot_rows)
 
 
-def _salt(big: DataFrame, on: list[str], salts: int) -> Column:
-    """Salt from the row's own values, so that a repeated task gives the same one.
+def hot_key_join(
+    big: DataFrame, lookup: DataFrame, on: list[str], how: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join with a large lookup when some keys may hold a large share of ``big``.
 
-    Numbers and times are enough where there are any; long texts are not hashed.
+    Keys with more than ``hot_rows`` rows are counted out first (the counts combine
+    before the shuffle). There are at most ``rows / hot_rows`` of them, so their lookup
+    rows are broadcast and their rows stay where they are; all other rows take an
+    ordinary shuffled join, in which no key is large.
     """
-    others = [f for f in big.schema if f.name not in on]
-    plain = (NumericType, DateType, TimestampType, TimestampNTZType)
-    slim = [f.name for f in others if isinstance(f.dataType, plain)]
-    return F.pmod(F.xxhash64(*(slim or [f.name for f in others] or on)), F.lit(salts))
-
-
-def salted_join(
-    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    left = big.withColumn("_salt", _salt(big, on, salts))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    right = lookup.withColumn("_salt", F.explode(every))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = stage(counts.where(F.col("_n") > hot_rows).select(*on), "hot-keys")
+    if hot.isEmpty():
+        return big.join(lookup, on, how)
+    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
+    hot_part = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_lookup), on, how)
+    cold_part = big.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
+    return hot_part.unionByName(cold_part)

@@ -64,16 +64,18 @@ def response_records(
 
     With ``pages`` (page_id, url) link fields are made absolute.
     """
+    out = parsed.select("page_id", "records")
+    if pages is not None:
+        # Joined while a response is still one row.
+        out = out.join(pages.select("page_id", "url"), "page_id")
+    keep = ["page_id"] + (["url"] if pages is not None else [])
     # Failed responses have no records and fall out after the outer explode. A filter
     # on the error, or the one Spark derives from a plain explode, would be pushed
     # below the parser and parse everything twice.
-    out = parsed.select("page_id", F.posexplode_outer("records").alias("rec_ord", "rec")).where(
+    out = out.select(*keep, F.posexplode_outer("records").alias("rec_ord", "rec")).where(
         "rec_ord is not null"
     )
     if pages is not None:
-        out = out.join(pages.select("page_id", "url"), "page_id").select(
-            "page_id", "url", "rec_ord", "rec"
-        )
         out = resolve_links(out, compat=compat)
     return out.withColumn("rec_json", F.to_json("rec"))
 

@@ -13,6 +13,8 @@ from leafmill import fixed_values as fv
 from leafmill.functions.numbers import round_exact
 from leafmill.functions.text import fold_case, is_present, strip
 from leafmill.functions.validate import field_error, possible_errors
+from leafmill.operators.joins import lookup_join
+from leafmill.session import stage
 
 Schema = dict[str, Any]
 
@@ -227,7 +229,25 @@ def kept_records(
     choice: DataFrame, baseline_records: DataFrame, retry_records: DataFrame
 ) -> DataFrame:
     """The record set of the chosen try of every page."""
-    accepted = choice.where("accepted").select("page_id")
-    return baseline_records.join(accepted, "page_id", "left_anti").unionByName(
-        retry_records.join(accepted, "page_id", "left_semi")
+    accepted = stage(choice.where("accepted").select("page_id"), "accepted")
+    return lookup_join(baseline_records, accepted, ["page_id"], "left_anti").unionByName(
+        lookup_join(retry_records, accepted, ["page_id"], "left_semi")
     )
+
+
+def score_by_schema(
+    records: DataFrame, schemas: dict[str, Schema], pages: DataFrame | None = None
+) -> DataFrame:
+    """Scores of records of several schemas, told apart by ``schema_key``.
+
+    Each schema has its own plan over its own rows; a table that is partitioned by
+    ``schema_key`` is read once in all.
+    """
+
+    def score(key: str, schema: Schema) -> DataFrame:
+        own = F.col("schema_key") == key
+        some_pages = None if pages is None else pages.where(own).drop("schema_key")
+        scored = score_records(records.where(own), schema, some_pages)
+        return scored.withColumn("schema_key", F.lit(key))
+
+    return reduce(DataFrame.unionByName, [score(k, s) for k, s in schemas.items()])

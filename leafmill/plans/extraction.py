@@ -131,7 +131,9 @@ def finish_retry(
         ),
         "retry-quality",
     )
-    choice = scoring.choose_refined(run.quality, quality, minimum_improvement)
+    choice = stage(
+        scoring.choose_refined(run.quality, quality, minimum_improvement), "choice"
+    )
     kept = scoring.kept_records(
         choice,
         run.records.select("page_id", "rec_ord", "rec", "rec_json"),

@@ -726,6 +726,24 @@ def quality_without_identity(spark, sf):
     return _quality_columns(scoring.score_records(records, schema))
 
 
+@query
+def mixed_schema_scores(spark, sf):
+    """Pages of two schemas in one table."""
+    odd = F.col("page_id") % 2 == 1
+    slim = F.map_filter("rec", lambda k, v: k.isin("price", "rooms"))
+    records = (
+        views.part_records(spark, sf, "brand")
+        .withColumn("schema_key", F.when(odd, "PARTS").otherwise("PRICES"))
+        .withColumn("rec", F.when(odd, F.col("rec")).otherwise(slim))
+    )
+    chosen = {"PARTS": views.PART_SCHEMA, "PRICES": {"price": "Price", "rooms": "Rooms"}}
+    out = scoring.score_by_schema(records, chosen)
+    return out.select(
+        "schema_key", "page_id", "results_count", "score", "confidence",
+        _joined("validation_errors"), _joined("issues"),
+    )
+
+
 @query
 def retry_strategies(spark, sf):
     weak = scoring.should_retry(views.page_quality(spark, sf))
@@ -747,7 +765,7 @@ def refinement_choice(spark, sf):
     )
     base = scoring.score_records(records, views.PART_SCHEMA)
     retry = scoring.score_records(better, views.PART_SCHEMA)
-    choice = scoring.choose_refined(base, retry)
+    choice = stage(scoring.choose_refined(base, retry), "choice")
     kept = scoring.kept_records(choice, records, better)
     prices = kept.groupBy("page_id").agg(
         F.sum((F.col("rec.price") == "$1").cast("long")).alias("new_prices")

@@ -462,6 +462,11 @@ checked AS (SELECT * FROM all_checked WHERE f IN ('price', 'rooms')),
 ids AS (SELECT brand AS page_id, price || chr(0) || rooms AS identity FROM recs),
 {quality('brand', 2)} {QUALITY_COLUMNS}"""
 
+_mixed = "page_id, results_count, score, confidence, validation_errors, issues"
+ORACLE["mixed_schema_scores"] = f"""
+SELECT 'PARTS' AS schema_key, {_mixed} FROM ({ORACLE["brand_quality_scores"]}) WHERE page_id % 2 = 1
+UNION ALL SELECT 'PRICES', {_mixed} FROM ({ORACLE["quality_without_identity"]}) WHERE page_id % 2 = 0"""
+
 _issue_case = " ".join(f"WHEN list_contains(issues, {q(i)}) THEN {q(t)}" for i, t in fv.RETRY_INSTRUCTIONS.items())
 PAGE_QUALITY = """pq AS (SELECT page_id, (page_id * 7 % 100) / 100 AS score, (page_id * 3 % 100) / 100 AS fill_rate,
   CASE page_id % 3 WHEN 0 THEN ['GARBAGE_CONTENT', 'LOW_VALIDITY'] WHEN 1 THEN ['LOW_FILL_RATE', 'MANY_DUPLICATES'] ELSE [] END AS issues FROM pages)"""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.html import PageTree, decode_entities
+from leafmill.functions.html import PageTree, clean_page, decode_entities
 from leafmill.operators import cleaning, rules
 
 
@@ -59,6 +59,66 @@ def test_self_closed_and_void_elements_hold_nothing():
     assert names_inside("<div>x<br>y</div>z", "br") == "x\ny\nz"
 
 
+def random_page(rng):
+    """A well-formed page and the text that must be left of it under some rules."""
+    kinds = ["div", "section", "span", "b", "ul", "nav", "aside", "footer", "h1"]
+    classes = ["", "", "x", "Modal-y", "promo", "a promo z", "promos", "gdprx"]
+    styles = ["", "", "", "display:none", "color:red; DISPLAY : NONE", "display:block"]
+    seen_id, out, html = [False], [], []
+
+    def walk(depth, gone):
+        for _ in range(rng.randrange(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                word = f"w{len(html)}"
+                html.append(f" {word} <!-- c --> &amp; <br>")
+                if not gone:
+                    out.extend([word, "&"])
+                continue
+            if rng.random() < 0.1:
+                html.append(rng.choice(["<script>var a='<div>';</script>", "<style>p{}</style>", "<br>", "<img src='x'>"]))
+                continue
+            kind, cls, style = rng.choice(kinds), rng.choice(classes), rng.choice(styles)
+            ident = "one" if rng.random() < 0.2 else ""
+            base = (
+                kind in ("nav", "aside", "footer") or "modal" in cls.lower() or "gdpr" in cls
+                or "none" in style.lower()
+            )
+            rule = "promo" in cls.split() or kind == "h1"
+            dead = gone or base or rule
+            if ident and not dead and not seen_id[0]:
+                seen_id[0], dead = True, True
+            attrs = "".join(f' {k}="{v}"' for k, v in (("class", cls), ("style", style), ("id", ident)) if v)
+            html.append(f"<{kind}{attrs}>")
+            walk(depth - 1, dead)
+            html.append(f"</{kind}>")
+
+    walk(5, False)
+    return "".join(html), out
+
+
+def test_random_pages_keep_what_no_rule_removes():
+    import random
+
+    rules = [
+        {"id": 1, "rule_type": "class", "selector": "promo"},
+        {"id": 2, "rule_type": "tag", "selector": "h1"},
+        {"id": 3, "rule_type": "id", "selector": "one"},
+    ]
+    rng = random.Random(11)
+    for _ in range(800):
+        html, words = random_page(rng)
+        assert clean_page(html, rules)["text"].split("\n") == (words or [""]), html
+
+
+def test_broken_markup_never_fails():
+    import random
+
+    rng = random.Random(12)
+    bits = ["<", ">", "</", "<p", "<div class='", '"', "'", "a", " ", "=", "<!--", "-->", "<script>", "</script>", "&amp;", "&#x110000;", "&#0;", "<b>", "</div>", "/>", "<![CDATA[", "]]>", "<?", "\x00"]
+    for _ in range(3000):
+        clean_page("".join(rng.choice(bits) for _ in range(rng.randrange(30))))
+
+
 PAGES = [
     (1, "<p style='DISPLAY: none'>no</p><p>yes</p>"),
     (2, "<nav>n</nav><header>h</header><div class='x CookieBar'>c</div><p>yes</p>"),
