@@ -51,19 +51,29 @@ _POOR = round(fv.QUALITY_POOR * 1000)
 _EXCELLENT = round(fv.QUALITY_EXCELLENT * 1000)
 
 
-def _absorb_wait(state: list[float], symbols: np.ndarray) -> list[float]:
-    """The steps of a stretch as one function ``min(high, max(low, wait + shift))``."""
+def _wait_step(wait: float, score: int) -> float:
+    if score < _POOR:
+        return min(wait + fv.WAIT_STEP_UP, fv.WAIT_CAP)
+    return max(wait - fv.WAIT_STEP_DOWN, fv.WAIT_FLOOR)
+
+
+def _absorb_wait(state, symbols: np.ndarray, used: np.ndarray, learn: np.ndarray) -> list[float]:
+    """The steps of a stretch as one function ``min(high, max(low, wait + shift))``.
+
+    A row that ran with a wait of its own (a raised one, after a recovery) sets the
+    wait from that one: a constant is such a function too, with ``low == high``.
+    """
     shift, low, high = state
     moving = (symbols < _POOR) | ((symbols >= _EXCELLENT) & (symbols < _SET))
-    for q in symbols[moving].tolist():
-        if q < _POOR:
-            shift += fv.WAIT_STEP_UP
-            low = min(low + fv.WAIT_STEP_UP, fv.WAIT_CAP)
-            high = min(high + fv.WAIT_STEP_UP, fv.WAIT_CAP)
+    moving &= learn.astype(bool)
+    for q, own in zip(symbols[moving].tolist(), used[moving].tolist()):
+        if own == own:  # not missing
+            new = _wait_step(own, q)
+            if new != own:
+                shift, low, high = 0.0, new, new
         else:
-            shift -= fv.WAIT_STEP_DOWN
-            low = max(low - fv.WAIT_STEP_DOWN, fv.WAIT_FLOOR)
-            high = max(high - fv.WAIT_STEP_DOWN, fv.WAIT_FLOOR)
+            shift += fv.WAIT_STEP_UP if q < _POOR else -fv.WAIT_STEP_DOWN
+            low, high = _wait_step(low, q), _wait_step(high, q)
     return [shift, low, high]
 
 
@@ -78,7 +88,7 @@ def _profile_parts() -> list[Part]:
         Part(
             "_wait",
             "array<double>",
-            ["_q"],
+            ["_q", "_used", "_learn"],
             lambda c: [0.0, float("-inf"), float("inf")],
             _absorb_wait,
         ),
@@ -93,18 +103,23 @@ def fold_profiles(
 ) -> DataFrame:
     """Domain profiles after all rows of ``history``, applied in (ts, id) order.
 
-    ``history``: domain, ts, id, quality_score (three decimals). ``prior`` is an older
-    profile table to continue from. A run reads its settings before it starts and is
+    ``history``: domain, ts, id, quality_score (three decimals); where present,
+    ``wait_used`` is the wait a row really ran with (null for the learned one), and rows
+    with ``learn_wait`` false leave the wait alone, as measured retries do. ``prior`` is
+    an older profile table to continue from. A run reads its settings before it starts and is
     folded in afterwards, so a domain's rows never influence each other inside a run.
 
     One range shuffle of (domain, ts, id, score) and one small shuffle of summaries;
     no task holds a whole domain.
     """
+    optional = lambda c, absent: F.col(c) if c in history.columns else absent
     rows = history.select(
         "domain",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
         F.col("id").cast("long").alias("id"),
         milli(F.col("quality_score")).cast("int").alias("_q"),
+        optional("wait_used", F.lit(None)).cast("double").alias("_used"),
+        F.coalesce(optional("learn_wait", F.lit(True)), F.lit(True)).alias("_learn"),
     )
     if prior is not None:
         rows = rows.unionByName(
@@ -113,6 +128,8 @@ def fold_profiles(
                 F.lit(-(2**63) + 1).cast("long").alias("_us"),
                 F.lit(-1).cast("long").alias("id"),
                 (milli(F.col("avg_quality")) + _SET).cast("int").alias("_q"),
+                F.lit(None).cast("double").alias("_used"),
+                F.lit(False).alias("_learn"),
             )
         )
     parts = _profile_parts()

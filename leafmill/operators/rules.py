@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafmill import fixed_values as fv
 from leafmill.operators.joins import lookup_join
 from leafmill.operators.ordered import chunked_row_number, fold_lists
+from leafmill.session import stage
 
 KEY = ["domain", "rule_type", "selector"]
 EVIDENCE_KEPT = 10
@@ -182,6 +183,8 @@ def fold_evidence(
     out = out.withColumn("evidence", F.coalesce("_list", F.array().cast("array<string>"))).drop(
         "_list"
     )
+    if last_id is not None:
+        out = stage(out, "rules")
     # New rules are numbered in the order of their first evidence, after the old ones.
     new = chunked_row_number(
         out.where("id0 is null"), [], ["_first_ts", "_first_id", *KEY], "id"

@@ -203,12 +203,19 @@ def fold_run(
     *,
     profiles: DataFrame,
     cleaning_rules: DataFrame,
+    refined: Refined | None = None,
+    retry_ts: F.Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Strategy tables after a run: profiles, and rules with outcomes and evidence.
 
-    Outcomes compare with the profiles as they were before the run.
+    Outcomes compare with the profiles as they were before the run. Measured retries
+    count as further scrapes at ``retry_ts`` (after ``ts``), but waits and rules learn
+    from the first try alone.
     """
-    new_profiles = fold_profiles(history_rows(run.quality, ts), profiles)
+    rows = history_rows(run.quality, ts, learn_wait=True)
+    if refined is not None:
+        rows = rows.unionByName(history_rows(refined.quality, retry_ts, learn_wait=False))
+    new_profiles = fold_profiles(rows, profiles)
     outcomes = rules.outcome_rows(run.cleaned, run.quality, profiles).select(
         "rule_id", ts.alias("ts"), F.col("page_id").alias("id"), "quality", "baseline_quality"
     )

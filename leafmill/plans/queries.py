@@ -562,8 +562,7 @@ def _poor_extractor(batches):
         )
 
 
-@query
-def refined_run(spark, sf):
+def _refined(spark, sf):
     """A poor first run, then measured retries with written instructions."""
     schema = fv.SCHEMAS["ARTICLES"]
     cleaned, reqs = extraction.build_requests(views.pages(spark, sf), schema)
@@ -585,6 +584,12 @@ def refined_run(spark, sf):
         F.lit("2024-02-01").cast("timestamp"),
         candidates=written,
     )
+    return run, again, out
+
+
+@query
+def refined_run(spark, sf):
+    run, again, out = _refined(spark, sf)
     kept = out.records.groupBy("page_id").agg(F.count("*").alias("n_records"))
     judged = out.prompts.select(
         F.col("id").alias("page_id"), "version", "status", "latency_ms", "input_tokens"
@@ -605,6 +610,23 @@ def refined_run(spark, sf):
     )
 
 
+@query
+def refined_run_strategy(spark, sf):
+    """Profiles after both tries: two scrapes a page, waits from the first alone."""
+    run, _, out = _refined(spark, sf)
+    none = tables.upgrade(views.page_rules(spark, sf), "cleaning_rules").where("false")
+    before = profiles.fold_profiles(views.history(spark, sf).where("false"))
+    after, _ = extraction.fold_run(
+        run,
+        F.lit("2024-02-01").cast("timestamp"),
+        profiles=before,
+        cleaning_rules=none,
+        refined=out,
+        retry_ts=F.lit("2024-02-02").cast("timestamp"),
+    )
+    return _profile_columns(after)
+
+
 # --- scalar functions ----------------------------------------------------------
 @query
 def url_domains(spark, sf):

@@ -172,10 +172,13 @@ def write_table(df: DataFrame, root: str, name: str, version: int | None = None)
 
 
 def append_history(df: DataFrame, path: str) -> None:
-    """Add extraction rows, split by day: reports read the days they need."""
-    upgrade(df, "extraction_history").withColumn("day", F.to_date("ts")).write.mode(
-        "append"
-    ).partitionBy("day").parquet(path)
+    """Add extraction rows, split by day: reports read the days they need.
+
+    Rows are rebalanced by day first, so that a day gets files of a sensible size
+    instead of one from every task, and a large day is still written by many tasks.
+    """
+    rows = upgrade(df, "extraction_history").withColumn("day", F.to_date("ts"))
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_feedback(df: DataFrame, path: str) -> None:

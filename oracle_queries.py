@@ -347,8 +347,7 @@ SELECT domain, 'class', 'promo-card', CASE WHEN n >= 2 THEN 'active' ELSE 'candi
 
 # First answer: one record with the headline "x", present but not telling. Second: six
 # fields, one or two records, none for every fifth page.
-ORACLE["refined_run"] = f"""
-WITH {TEXTS}, ok AS (SELECT *, string_split(text, chr(10)) AS lines FROM t WHERE length(text) >= 50),
+REFINED = f"""{TEXTS}, ok AS (SELECT *, string_split(text, chr(10)) AS lines FROM t WHERE length(text) >= 50),
 b AS (SELECT page_id, domain, lines[1] AS headline, lines[len(lines)] AS summary,
   {r3("1 / 6 * 0.25 + 0 * 0.20 + 1.0::DOUBLE * 0.15 + 1.0::DOUBLE * 0.10 + 1.0::DOUBLE * 0.20 + 0.2::DOUBLE * 0.10")} AS base, 1 + page_id % 2 AS n FROM ok),
 m AS (SELECT *, ({_present("headline")} + {_present("summary")} + 4) * n / (6 * n) AS fill,
@@ -357,7 +356,9 @@ m AS (SELECT *, ({_present("headline")} + {_present("summary")} + 4) * n / (6 *
   (trim(headline, {SPACE}) <> '')::INTEGER / n AS uniq FROM b),
 s AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN NULL ELSE
   {r3("fill * 0.25 + basic * 0.20 + uniq * 0.15 + (1 - garbage / 1) * 0.10 + 1.0::DOUBLE * 0.20 + n / 5 * 0.10")} END AS cand FROM m),
-v AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS version FROM s WHERE cand IS NOT NULL)
+v AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS version FROM s WHERE cand IS NOT NULL)"""
+ORACLE["refined_run"] = f"""
+WITH {REFINED}
 SELECT s.page_id, s.base AS baseline_quality, coalesce(s.cand, -1.0::DOUBLE) AS candidate_quality, coalesce(s.cand - s.base >= 0.05, false) AS accepted,
   CASE WHEN s.cand - s.base >= 0.05 THEN s.n ELSE 1 END::BIGINT AS n_records, coalesce(version, 0)::BIGINT AS version,
   CASE WHEN s.cand IS NULL THEN '' WHEN s.cand - s.base >= 0.05 THEN 'accepted' ELSE 'rejected' END AS status,
@@ -365,6 +366,15 @@ SELECT s.page_id, s.base AS baseline_quality, coalesce(s.cand, -1.0::DOUBLE) AS
   md5({q(_prompt)} || chr(10) || chr(10) || 'Additional instructions:' || chr(10) || '[Candidate retry instructions]' || chr(10) || 'Look for the headline of ' || s.domain) AS prompt_md5
 FROM s LEFT JOIN v USING (page_id)"""
 
+ORACLE["refined_run_strategy"] = f"""
+WITH {REFINED}, rows AS (SELECT domain, page_id AS id, TIMESTAMP '2024-02-01' AS ts, base AS q, true AS first_try FROM s
+  UNION ALL SELECT domain, page_id, TIMESTAMP '2024-02-02', cand, false FROM s WHERE cand IS NOT NULL),
+h AS (SELECT domain, id, ts, q FROM rows), {PROFILES},
+w AS (SELECT domain, list_reduce(list_prepend(2.0::DOUBLE, list(q ORDER BY ts, id)), lambda w, x:
+    CASE WHEN x < 0.35 THEN least(w + 2.0, 15.0) WHEN x >= 0.85 THEN greatest(w - 0.5, 1.0) ELSE w END::DOUBLE) AS wait_seconds
+  FROM rows WHERE first_try GROUP BY domain)
+SELECT p.* REPLACE (w.wait_seconds AS wait_seconds) FROM p JOIN w USING (domain)"""
+
 # --- scalar functions ----------------------------------------------------------
 ORACLE["url_domains"] = f"SELECT page_id, {URL_DOMAIN} AS domain FROM pages"
 ORACLE["redacted_urls"] = r"""

@@ -71,6 +71,24 @@ def test_fold_continues_from_older_profiles(spark):
     assert result(profiles.fold_profiles(frame(spark, new), prior)) == loop(new, loop(old))
 
 
+def test_own_waits_and_rows_that_do_not_learn(spark):
+    rng = random.Random(12)
+    rows = [
+        (*r, rng.choice([None, None, None, 7.0, 5.0, 14.5, 1.0, 15.0]), rng.random() < 0.8) for r in history(seed=10)
+    ]
+    want = {}
+    for domain, ts, i, q, used, learn in sorted(rows, key=lambda r: (r[1], r[2])):
+        wait = want.get(domain, 2.0)
+        now = wait if used is None else used
+        new = min(now + 2.0, 15.0) if q < 0.35 else max(now - 0.5, 1.0) if q >= 0.85 else now
+        want[domain] = new if learn and new != now else wait
+    ddl = "domain string, ts timestamp, id long, quality_score double, wait_used double, learn_wait boolean"
+    out = profiles.fold_profiles(spark.createDataFrame(rows, ddl))
+    assert {r["domain"]: r["wait_seconds"] for r in out.collect()} == want
+    scores = loop([r[:4] for r in rows])
+    assert {d: v[1:] for d, v in result(out).items()} == {d: v[1:] for d, v in scores.items()}
+
+
 def test_average_and_success_counts(spark):
     out = profiles.fold_profiles(frame(spark, [("a", T0, 1, 1.0), ("a", T0, 2, 0.0)])).first()
     assert (out["avg_quality"], out["total_scrapes"], out["total_successes"]) == (0.7, 2, 1)
