@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import is_present, strip
 
 _EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
-_LOOSE_DATE = r"(?U)\b(?:19|20)\d{2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b"
-_ISO_DATE = r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-?W(\d{2})(?:-?([1-7]))?)"
+_LOOSE_DATE = r"(?U)(?=\d)(?:\b(?:19|20)\d{2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b)"
+_ISO_DAY = r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
+_ISO_WEEK = r"^(\d{4})-?W(\d{2})(?:-?[1-7])?"
 _ISO_ZONE = r"(?:[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?"
 _ISO_TIME = (
-    r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+    r"(?:.(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+    + _ISO_ZONE
+    + ")?$"
 )
 _NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?$"
 _SPECIAL_NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan)$"
@@ -23,20 +26,19 @@ _SPECIAL_NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 def _iso_date(text: Column) -> Column:
     """An ISO 8601 date or date-time that names a real calendar day."""
     value = F.regexp_replace(text, "Z", "+00:00")
-    shape = value.rlike(f"{_ISO_DATE}(?:.{_ISO_TIME}{_ISO_ZONE})?$")
-    part = lambda i: F.regexp_extract(value, _ISO_DATE, i)
-    month = F.concat(part(2), part(4))
-    day = F.concat(part(3), part(5))
-    real_day = F.try_to_timestamp(
-        F.concat_ws("-", part(1), month, day), F.lit("yyyy-MM-dd")
-    ).isNotNull()
-    week = part(6).try_cast("int")
-    first = F.try_to_timestamp(F.concat(part(1), F.lit("-01-01")), F.lit("yyyy-MM-dd"))
-    last = F.try_to_timestamp(F.concat(part(1), F.lit("-12-31")), F.lit("yyyy-MM-dd"))
-    long_year = (F.dayofweek(first) == 5) | (F.dayofweek(last) == 5)
-    real_week = week.between(1, 52) | ((week == 53) & long_year)
+    day = F.regexp_replace(value, f"{_ISO_DAY}.*$", "$1-$2$4-$3$5").try_cast("date")
+    year = F.regexp_extract(value, _ISO_WEEK, 1)
+    week = F.regexp_extract(value, _ISO_WEEK, 2).try_cast("int")
+    # A year has a week 53 when it begins or ends on a Thursday.
+    ends = [F.concat(year, F.lit(d)).try_cast("date") for d in ("-01-01", "-12-31")]
+    long_year = (F.dayofweek(ends[0]) == 5) | (F.dayofweek(ends[1]) == 5)
     return F.coalesce(
-        shape & (part(1) != "0000") & F.when(part(6) != "", real_week).otherwise(real_day),
+        F.when(value.startswith("0000"), False)
+        .when(value.rlike(_ISO_DAY + _ISO_TIME), day.isNotNull())
+        .when(
+            value.rlike(_ISO_WEEK + _ISO_TIME),
+            week.between(1, 52) | ((week == 53) & long_year),
+        ),
         F.lit(False),
     )
 

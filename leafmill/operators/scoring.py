@@ -51,33 +51,38 @@ def record_measures(records: DataFrame, schema: Schema) -> DataFrame:
     texts = records.select(
         "page_id", "rec", *[strip(rec[f]).alias(f"t{i}") for i, f in enumerate(schema)]
     )
-    filled, basic, errors, flags = [], [], {}, {}
+    filled, basic, errors = [], [], []
     for i, (field, spec) in enumerate(schema.items()):
         text = F.col(f"t{i}")
         present = is_present(text, stripped=True)
         telling = (F.length(text) > 1) & (fold_case(text) != fold_case(F.lit(field)))
         filled.append(present.cast("int"))
         basic.append((present & telling).cast("int"))
-        errors[f"x{i}"] = field_error(field, text, spec, stripped=True)
-        for code in possible_errors(field, spec):
-            flags[f"{field}:{code}"] = F.coalesce(F.col(f"x{i}") == code, F.lit(False))
+        code = field_error(field, text, spec, stripped=True)
+        errors.append(F.concat(F.lit(f"{field}:"), code))
     total = lambda parts: reduce(add, parts) if parts else F.lit(0)
+    found = F.filter(F.array(*errors), lambda e: e.isNotNull())
+    # The lambda keeps this step out of whole-stage codegen, where all the checks would
+    # become one method too long for the JVM to compile: half the time on wide schemas.
     checked = texts.select(
         "page_id",
         total(filled).alias("filled"),
         total(basic).alias("basic"),
         is_garbage(rec).cast("int").alias("garbage"),
         identity(rec, schema).alias("identity"),
-        *[e.alias(name) for name, e in errors.items()],
+        (found if errors else F.array().cast("array<string>")).alias("errors"),
     )
     return checked.select(
         "page_id",
         "filled",
         "basic",
-        total([F.col(x).isNull().cast("int") for x in errors]).alias("sound"),
+        (F.lit(len(schema)) - F.size("errors")).alias("sound"),
         "garbage",
         "identity",
-        *[flags[name].alias(f"e{i}") for i, name in enumerate(sorted(flags))],
+        *[
+            F.array_contains("errors", name).alias(f"e{i}")
+            for i, name in enumerate(_error_names(schema))
+        ],
     )
 
 
