@@ -31,5 +31,32 @@ SELECT page_id, host, path,
   CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND (path LIKE '/es/%' OR path LIKE '/en/1%') THEN 'block'
        WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'block' ELSE 'allow' END AS verdict
 FROM p
+""",
+    "op5_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, len(k) AS size, array_to_string(k, ' ') AS win
+  FROM (SELECT item_id, w[s:s + 9] AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0))
+), sizes AS (SELECT DISTINCT size FROM iw
+), dw AS (
+  SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win
+  FROM (SELECT d.*, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)
+), hits AS (SELECT doc_id, s, size, item_id FROM dw JOIN iw USING (size, win)
+), per AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import packing, sharding, topk, url_filters
+from leafmill.llm import decontamination, packing, personal_data, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -22,10 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: Column, kind: int | str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_count(base, n).alias(f"n_{kind}") for n, kind in enumerate(personal_data.KINDS)]
+    return found.select(
+        "row.doc_id", *counts, F.sha2(personal_data.spelled(base), 256).alias("base_sha256"),
+        personal_data.spelled(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("found.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    items = F.array_join(F.array_sort(F.transform("found.items", lambda i: i.cast("string"))), ",")
+    return marked.select(
+        "row.doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,9 +68,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    spelled = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [_count(F.col("secrets"), rule.kind).alias(f"n_{rule.kind}") for rule in secret_scan.RULES]
+    return found.select("doc_id", *counts, F.sha2(spelled, 256).alias("base_sha256"), spelled.alias("spans"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op7_packing, op8_sharding, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op4_personal_data, op5_decontamination, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
+    )
+}
