@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontamination, packing, personal_data, secret_scan, sharding, topk, url_filters
+from leafmill.llm import decontamination, packing, personal_data, quality, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -30,6 +30,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "p_quality", "p_toxic", "kept")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -83,6 +88,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op4_personal_data, op5_decontamination, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
+        op1_topk_search, op2_quality, op4_personal_data, op5_decontamination, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
     )
 }
