@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +60,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """``base`` to the powers 0 to n - 1, from a table that grows with the longest text seen."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = _POWERS[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 class Rolling:
@@ -80,6 +87,39 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
 
+def slices(batches: Batches, column: str, most: int = 16_000_000) -> Batches:
+    """Batches cut so that a text column has about ``most`` bytes in each."""
+    for rows in batches:
+        sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy().astype(np.int64)
+        part = np.cumsum(sizes) // most
+        low = 0
+        for high in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]:
+            if high > low:
+                yield rows.slice(low, high - low)
+            low = high
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of undirected edges (a, b): the smallest node that can be reached.
+
+    Labels spread to neighbours and jump along labels, so that the rounds grow with the
+    logarithm of a component's width; each round is written to the shared folder.
+    """
+    both = shared_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = (
+            labels.join(far, F.col("label") == F.col("via"), "left").join(near, F.col("node") == F.col("a"), "left")
+            .select("node", F.least("label", "far", "near").alias("label"), F.col("label").alias("old"))
+        )
+        new = shared_table(new, "labels")
+        labels = new.select("node", "label")
+        if new.filter("label != old").limit(1).count() == 0:
+            return labels
+
+
 def lower_words(table: bytes, text: bytes) -> list[bytes]:
     """Words of a text whose bytes ``table`` maps to themselves, lower case or blanks."""
     return text.translate(table).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontamination, packing, personal_data, quality, secret_scan, sharding, topk, url_filters
+from leafmill.llm import decontamination, near_duplicates, packing, personal_data, quality, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -55,6 +55,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +93,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_quality, op4_personal_data, op5_decontamination, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
+        op1_topk_search, op2_quality, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
     )
 }
