@@ -106,7 +106,8 @@ def _sets(batches: Batches, kind: pa.DataType, width: int):
 def families(classes: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
     """(family, i, j, block, class, key): where each class is compared, and which blocks there."""
     buckets = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    # Written first: a join of two plain shuffles can split a large bucket.
+    shared = shared_table(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "shared")
     members = shared_table(buckets.join(shared, "bucket"), "buckets")
     label = members.groupBy("class").agg(F.min("bucket").alias("label"))
     for _ in range(2):

@@ -75,7 +75,7 @@ class Encoder:
     ``encode_batch`` on the same vocabulary (tested); the memo of pre-tokens is bounded.
     """
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: str, pattern: str, memo: int = 300_000):
         import base64
 
         import tiktoken
@@ -285,7 +285,7 @@ def _pack(batches: Batches, kind: pa.DataType, ranks: str, pattern: str, stop: i
         low = 0
         while low < len(texts):  # a few megabytes at a time
             high, size = low, 0
-            while high < len(texts) and (size < 16_000_000 or high == low):
+            while high < len(texts) and (size < 12_000_000 or high == low):
                 size, high = size + len(texts[high]), high + 1
             for name, ids in zip(names[low:high], encode(texts[low:high]), strict=True):
                 keys.append(name)

@@ -179,7 +179,8 @@ def remove_repeats(
     texts = texts.withColumn("key", row_key("id", "text"))
     marks = texts.select("key", "text").mapInArrow(partial(_stretches, least=least), "gram long, whole long, key long, place long")
     counts = marks.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    again = counts.filter("n > 1").select("gram", (F.col("a") == F.col("b")).alias("alike"))
+    # Written first: a join of two plain shuffles can split a frequent digit.
+    again = shared_table(counts.filter("n > 1").select("gram", (F.col("a") == F.col("b")).alias("alike")), "again")
     members = shared_table(marks.join(again, "gram"), "members")
     mixed = members.filter("not alike")
     kinds = shared_table(
