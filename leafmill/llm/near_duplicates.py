@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from leafmill.llm.common import BASE, Batches, Rolling, as_bytes, components, mix, row_key, shared_table, slices
+from leafmill.llm.common import BASE, Batches, Rolling, as_bytes, components, may_hold, mix, row_key, shared_table, slices
 
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
@@ -209,7 +209,7 @@ def near_duplicates(
     width: int = 5,
     percent: int = 80,
     miss: float = MISS,
-    block_rows: int = 1500,
+    block_rows: int = 800,
     block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """Every row's component: id, key, n_shingles, component_id, kept, chosen.
@@ -236,8 +236,8 @@ def near_duplicates(
     classes = shared_table(
         sets.filter("class is not null").groupBy("class").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    places = families(classes, block_rows, block_shingles)
-    texts = places.join(rows.select("key", "text"), "key").drop("key")
+    places = shared_table(families(classes, block_rows, block_shingles), "places")
+    texts = places.join(may_hold(rows.select("key", "text"), places.select("key")), "key").drop("key")
     edges = (
         texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "class")
         .mapInArrow(partial(_verify, width=width, percent=percent, miss=miss), "a binary, b binary")
