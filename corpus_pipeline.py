@@ -26,7 +26,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8) stays."""
-    found = shared_table(near_duplicates.near_duplicates(docs).filter("chosen"), "chosen")
+    found = shared_table(near_duplicates.near_duplicates(docs).select("key", "chosen"), "chosen")
     return near_duplicates.keep_one(docs, found, docs.columns)
 
 

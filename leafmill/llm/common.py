@@ -103,11 +103,12 @@ def slices(batches: Batches, column: str, most: int = 16_000_000) -> Batches:
 _BITS, _ROW = 1 << 26, 1 << 15
 
 
-def may_hold(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among ``keys``; all that are, and few others.
+def may_hold(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: whether the row's ``key`` may be among ``keys``.
 
-    A bitmap of fixed size is broadcast, so that most rows leave before a shuffled join
-    with ``keys``. With very many keys it is full, and then only costs its look-up.
+    True for all that are, and few others. A bitmap of fixed size is broadcast, so that rows can
+    leave, or pass by, a shuffled join. With very many keys it is full, and then only
+    costs its look-up.
     """
     slot = F.pmod(F.col("key"), F.lit(_BITS))
     word = F.floor(slot / _ROW)
@@ -115,8 +116,9 @@ def may_hold(df: DataFrame, keys: DataFrame) -> DataFrame:
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")
     )
     byte = F.expr("cast(conv(hex(substring(bits, cast(slot % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
-    found = df.withColumns({"slot": slot, "word": word}).join(F.broadcast(maps), "word")
-    return found.filter(F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1).select(*df.columns)
+    bit = F.getbit(F.coalesce(byte, F.lit(0)), (F.col("slot") % 8).cast("int")) == 1
+    out = df.withColumns({"slot": slot, "word": word}).join(F.broadcast(maps), "word", "left")
+    return out.select(*df.columns, bit.alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:

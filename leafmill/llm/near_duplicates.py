@@ -237,7 +237,7 @@ def near_duplicates(
         sets.filter("class is not null").groupBy("class").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     places = shared_table(families(classes, block_rows, block_shingles), "places")
-    texts = places.join(may_hold(rows.select("key", "text"), places.select("key")), "key").drop("key")
+    texts = places.join(may_hold(rows.select("key", "text"), places, "held").filter("held").drop("held"), "key").drop("key")
     edges = (
         texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "class")
         .mapInArrow(partial(_verify, width=width, percent=percent, miss=miss), "a binary, b binary")
@@ -256,11 +256,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, found: DataFrame, carry: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns."""
-    keys = found.filter("chosen").groupBy("key").agg(F.count("*").alias("copies"))
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), row_key(id_col, text_col).alias("key")
-    ).join(keys, "key")
-    once = rows.filter("copies = 1").select("row")
-    repeated = rows.filter("copies > 1").dropDuplicates(["key"]).select("row")
+    """One document of each component, with all its columns.
+
+    Most rows have a key of their own and stay; they pass by. Only rows whose key may be
+    dropped or repeated are joined to what ``found`` says of it.
+    """
+    keys = found.groupBy("key").agg(F.count("*").alias("copies"), F.max("chosen").alias("stays"))
+    special = shared_table(keys.filter("copies > 1 or not stays"), "special")
+    rows = may_hold(
+        docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), row_key(id_col, text_col).alias("key")), special, "held"
+    )
+    judged = rows.filter("held").join(special, "key", "left")
+    once = rows.filter("not held").select("row").unionByName(judged.filter("copies is null").select("row"))
+    repeated = judged.filter("stays").dropDuplicates(["key"]).select("row")
     return once.unionByName(repeated).select(*(F.col("row").getField(c).alias(c) for c in carry))
