@@ -28,9 +28,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     record; any other JSON cannot be used, and no JSON at all is a parse failure.
     """
     inside = F.col("_inside")
-    whole = F.from_json(F.concat(F.lit("["), inside, F.lit("]")), "array<string>")
-    many = F.from_json(inside, f"array<{_REC}>")
-    single = F.from_json(inside, _REC)
+    strict = {"allowSingleQuotes": "false"}
+    whole = F.from_json(F.concat(F.lit("["), inside, F.lit("]")), "array<string>", strict)
+    many = F.from_json(inside, f"array<{_REC}>", strict)
+    single = F.from_json(inside, _REC, strict)
     blank = F.coalesce(inside == "", F.lit(True)) & F.coalesce(
         strip(F.col("raw_output")) == "", F.lit(True)
     )
