@@ -61,7 +61,8 @@ def redact_url(url: Column) -> Column:
     port_text = F.when(
         bracketed, F.regexp_extract(server, r"^\[[^\]]*\]:(.*)$", 1)
     ).otherwise(F.regexp_extract(server, r"^[^:]*:(.*)$", 1))
-    port = F.when(port_text.rlike(r"^[0-9]{1,9}$"), port_text.cast("int"))
+    digits = F.regexp_replace(port_text, r"^0+(?=[0-9])", "")
+    port = F.when(digits.rlike(r"^[0-9]{1,9}$"), digits.cast("int"))
     broken = (
         (netloc.contains("[") != netloc.contains("]"))
         | ((port_text != "") & (port.isNull() | (port > 65535)))

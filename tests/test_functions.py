@@ -186,3 +186,9 @@ def test_json_text_of_prompts_is_plain_json():
     from leafmill import fixed_values as fv
 
     assert "\\u20ac" in json.dumps(fv.SCHEMAS["RESTAURANTS"], indent=2)
+
+
+def test_ports_with_leading_zeros(spark):
+    urls = ["http://a.org:0000000080/x", "http://a.org:00000000000/x", "http://a.org:0000065536/", "http://a.org:" + "9" * 30 + "/"]
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", T.redact_url(F.col("u")).alias("r"))
+    assert [r.r for r in got.orderBy("i").collect()] == ["http://a.org:80/x", "http://a.org/x", "<invalid-url>", "<invalid-url>"]
