@@ -15,18 +15,14 @@ HOT_ROWS = 1_000_000
 def is_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS
 ) -> bool:
-    """Does ``df`` stay below both bounds? Reads at most ``max_rows + 1`` rows.
+    """Does ``df`` stay below both bounds? Each task sends one row of sums.
 
     ``df`` should be a stored table or a ``stage``: it is read again by the join.
     """
-    sizes = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars"),
-        )
-        .first()
-    )
+    sizes = df.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars"),
+    ).first()
     return sizes["rows"] <= max_rows and sizes["chars"] <= max_chars
 
 

@@ -57,6 +57,11 @@ def _wait_step(wait: float, score: int) -> float:
     return max(wait - fv.WAIT_STEP_DOWN, fv.WAIT_FLOOR)
 
 
+def _moving(symbols: np.ndarray) -> np.ndarray:
+    """Which scores change the wait: poor ones and excellent ones."""
+    return (symbols < _POOR) | ((symbols >= _EXCELLENT) & (symbols < _SET))
+
+
 def _absorb_wait(state, symbols: np.ndarray, used: np.ndarray, learn: np.ndarray) -> list[float]:
     """The steps of a stretch as one function ``min(high, max(low, wait + shift))``.
 
@@ -64,8 +69,7 @@ def _absorb_wait(state, symbols: np.ndarray, used: np.ndarray, learn: np.ndarray
     wait from that one: a constant is such a function too, with ``low == high``.
     """
     shift, low, high = state
-    moving = (symbols < _POOR) | ((symbols >= _EXCELLENT) & (symbols < _SET))
-    moving &= learn.astype(bool)
+    moving = _moving(symbols) & learn.astype(bool)
     for q, own in zip(symbols[moving].tolist(), used[moving].tolist()):
         if own == own:  # not missing
             new = _wait_step(own, q)
@@ -85,6 +89,13 @@ def _profile_parts() -> list[Part]:
             "_ok", "bigint", ["_q"], lambda c: 0, lambda s, q: s + int((scores(q) >= _POOR).sum())
         ),
         machine("_avg", "_q", average_moves, _NONE),
+        Part(
+            "_moves",
+            "bigint",
+            ["_q", "_learn"],
+            lambda c: 0,
+            lambda s, q, learn: s + int((_moving(q) & learn.astype(bool)).sum()),
+        ),
         Part(
             "_wait",
             "array<double>",
@@ -95,6 +106,15 @@ def _profile_parts() -> list[Part]:
     ]
 
 
+def _usable_score() -> Column:
+    return F.coalesce(F.col("quality_score").cast("double").between(0.0, 1.0), F.lit(False))
+
+
+def rejected_scores(history: DataFrame) -> DataFrame:
+    """The rows that ``fold_profiles`` does not apply: score missing or outside 0 to 1."""
+    return history.where(~_usable_score())
+
+
 def fold_profiles(
     history: DataFrame,
     prior: DataFrame | None = None,
@@ -109,11 +129,15 @@ def fold_profiles(
     an older profile table to continue from. A run reads its settings before it starts and is
     folded in afterwards, so a domain's rows never influence each other inside a run.
 
+    Rows without a score from 0 to 1 are not applied; ``rejected_scores`` returns them. The
+    wait of a domain that is not in ``prior`` starts from ``default_wait``, but 2.0 is stored
+    until a row changes it.
+
     One range shuffle of (domain, ts, id, score) and one small shuffle of summaries;
     no task holds a whole domain.
     """
     optional = lambda c, absent: F.col(c) if c in history.columns else absent
-    rows = history.select(
+    rows = history.where(_usable_score()).select(
         "domain",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
         F.col("id").cast("long").alias("id"),
@@ -127,7 +151,7 @@ def fold_profiles(
                 "domain",
                 F.lit(-(2**63) + 1).cast("long").alias("_us"),
                 F.lit(-1).cast("long").alias("id"),
-                (milli(F.col("avg_quality")) + _SET).cast("int").alias("_q"),
+                (milli(F.coalesce("avg_quality", F.lit(0.0))) + _SET).cast("int").alias("_q"),
                 F.lit(None).cast("double").alias("_used"),
                 F.lit(False).alias("_learn"),
             )
@@ -144,13 +168,14 @@ def fold_profiles(
             segments(names).alias("_segs"),
             F.sum("_n").alias("_n"),
             F.sum("_ok").alias("_ok"),
+            F.sum("_moves").alias("_moves"),
             F.max("_last").alias("_last"),
         )
     )
     if prior is None:
         known = folded.select(
             "*",
-            F.lit(float(default_wait)).alias("_wait0"),
+            F.lit(None).cast("double").alias("_w"),
             F.lit(0).alias("_n0"),
             F.lit(0).alias("_ok0"),
             F.lit(None).cast("timestamp").alias("_last0"),
@@ -165,7 +190,7 @@ def fold_profiles(
         )
         known = folded.join(old, "domain", "left").select(
             *folded.columns,
-            F.coalesce("_w", F.lit(float(default_wait))).alias("_wait0"),
+            "_w",
             F.coalesce("_n0", F.lit(0)).alias("_n0"),
             F.coalesce("_ok0", F.lit(0)).alias("_ok0"),
             "_last0",
@@ -178,9 +203,10 @@ def fold_profiles(
     total = (F.col("_n") + F.col("_n0")).cast("long")
     success = (F.col("_ok") + F.col("_ok0")).cast("long")
     seen = F.when(F.col("_n") > 0, F.timestamp_micros("_last"))
+    start = F.when(F.col("_moves") > 0, float(default_wait)).otherwise(fv.DEFAULT_WAIT_SECONDS)
     return known.select(
         "domain",
-        F.aggregate("_segs", F.col("_wait0"), waited).alias("wait_seconds"),
+        F.aggregate("_segs", F.coalesce("_w", start), waited).alias("wait_seconds"),
         (run_machine(F.col("_segs"), "_avg", F.lit(_NONE)) / 1000.0).alias("avg_quality"),
         total.alias("total_scrapes"),
         success.alias("total_successes"),

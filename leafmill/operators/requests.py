@@ -20,7 +20,7 @@ from leafmill.operators.prompts import best_prompts
 
 RESPONSE_SCHEMA = (
     "page_id bigint, raw_output string, input_tokens bigint, output_tokens bigint, "
-    "latency_ms double, model string"
+    "latency_ms double, model string, error_type string, status_code int"
 )
 
 
@@ -181,6 +181,71 @@ def refinement_requests(
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+_ANSWER = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
+_TEXTS = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ") if c.endswith(" string")]
+
+
+def _whole(out: pd.DataFrame) -> pd.DataFrame:
+    """All columns of an answer; what the function left out is null."""
+    absent = pd.Series([None] * len(out), index=out.index, dtype=object)
+    out = out.assign(**{c: absent for c in _ANSWER if c not in out.columns})[_ANSWER]
+    # As plain objects: Arrow would cut a text column of pandas' own kind into chunks.
+    return out.astype(dict.fromkeys(_TEXTS, object))
+
+
+def _isolated(extractor: Extractor) -> Extractor:
+    """``extractor``, such that a page it fails on becomes a row with an ``error_type``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given, open_batch, answered, broken = iter(batches), [], set(), []
+
+        def feed() -> Iterator[pd.DataFrame]:
+            while True:
+                try:
+                    batch = next(given, None)
+                except Exception:
+                    broken.append(True)  # the input's failure, not the model's
+                    raise
+                if batch is None:
+                    return
+                open_batch[:] = [batch]
+                answered.clear()
+                yield batch
+
+        while True:
+            try:
+                for out in extractor(feed()):
+                    answered.update(out["page_id"])
+                    yield _whole(out)
+                return
+            except Exception:
+                if broken or not open_batch:
+                    raise
+            batch = open_batch.pop()
+            for at in range(len(batch)):
+                one = batch.iloc[at : at + 1]
+                if one["page_id"].iloc[0] in answered:
+                    continue
+                try:
+                    for out in extractor(iter([one])):
+                        yield _whole(out)
+                except Exception as e:
+                    told = {
+                        "error_type": getattr(e, "error_type", "LLMExtractionError"),
+                        "status_code": getattr(e, "status_code", None),
+                    }
+                    yield _whole(one[["page_id"]].assign(**told))
+
+    return run
+
+
 def run_extractor(requests: DataFrame, extractor: Extractor) -> DataFrame:
-    """Responses from a caller-supplied batch function over the request table."""
-    return requests.mapInPandas(extractor, RESPONSE_SCHEMA)
+    """Responses from a caller-supplied batch function over the request table.
+
+    The function answers a batch before it takes the next one. If it raises, the pages of
+    that batch without an answer are asked again one by one, and a page that raises alone
+    gets ``error_type`` and ``status_code`` (the exception's own, if it has them). It may
+    also return these two columns itself. A function that raises before it takes a batch
+    ends the job.
+    """
+    return requests.mapInPandas(_isolated(extractor), RESPONSE_SCHEMA)

@@ -20,13 +20,28 @@ def strip_code_fence(value: Column) -> Column:
     return F.when(text.startswith(_FENCE), strip(inner)).otherwise(text)
 
 
+def _last_wins(rec: Column) -> Column:
+    """``rec`` with each key once: where it was first, with the value it had last."""
+    entries, keys = F.map_entries(rec), F.array_distinct(F.map_keys(rec))
+    last = F.transform(
+        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    )
+    repeated = F.size(keys) < F.size(rec)
+    return F.when(repeated, F.map_from_arrays(keys, last)).otherwise(rec)
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """``responses`` with ``records`` (array of maps) or ``error_type``.
 
     The text is parsed inside an array of its own, so that trailing text or two values
     in a row are errors. A list of objects gives its records, a single object one
-    record; any other JSON cannot be used, and no JSON at all is a parse failure.
+    record; any other JSON cannot be used, and no JSON at all is a parse failure. Of a
+    repeated key the last value counts. An ``error_type`` that comes with a response (the
+    model could not be asked) is kept, and its text is not read.
     """
+    told = F.col("_told")
+    given = F.col("error_type") if "error_type" in responses.columns else F.lit(None)
+    responses = responses.withColumn("_told", given.cast("string"))
     inside = F.col("_inside")
     strict = {"allowSingleQuotes": "false"}
     whole = F.from_json(F.concat(F.lit("["), inside, F.lit("]")), "array<string>", strict)
@@ -46,15 +61,20 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     ).when(F.col("_one").isNotNull(), F.array("_one"))
     return (
         step.withColumn(
-            "records", F.when(~blank & F.coalesce("_json", F.lit(False)), usable)
+            "records",
+            F.transform(
+                F.when(told.isNull() & ~blank & F.coalesce("_json", F.lit(False)), usable),
+                _last_wins,
+            ),
         )
         .withColumn(
             "error_type",
-            F.when(blank, "LLMExtractionError")
+            F.when(told.isNotNull(), told)
+            .when(blank, "LLMExtractionError")
             .when(~F.coalesce("_json", F.lit(False)), "LLMParseError")
             .when(F.col("records").isNull(), "LLMExtractionError"),
         )
-        .drop("_inside", "_many", "_one", "_json")
+        .drop("_inside", "_many", "_one", "_json", "_told")
     )
 
 
@@ -82,8 +102,9 @@ def response_records(
 
 
 def response_failures(parsed: DataFrame) -> DataFrame:
+    status = ["status_code"] if "status_code" in parsed.columns else []
     return parsed.where(F.col("error_type").isNotNull()).select(
-        "page_id", "error_type", F.lit("llm").alias("component")
+        "page_id", "error_type", F.lit("llm").alias("component"), *status
     )
 
 

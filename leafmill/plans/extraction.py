@@ -50,15 +50,22 @@ def finish_run(
 ) -> Run:
     """Parse and score the responses of a run.
 
-    A page fails alone: its failure becomes a row, the other pages go on. Only pages
-    whose response could be parsed are scored.
+    A page fails alone: its failure becomes a row, the other pages go on. So does a page
+    that was asked for and got no answer. Only pages whose response could be parsed are
+    scored.
     """
     # Answers are paid for once: they are stored before anything reads them.
     parsed = stage(responses.parse_responses(answered), "parsed")
     places = cleaned.select("page_id", "url", "domain")
     records = responses.response_records(parsed, places).withColumn("_source_url", F.col("url"))
+    silent = reqs.select("page_id").join(parsed.select("page_id"), "page_id", "left_anti")
+    unanswered = silent.select(
+        "page_id", F.lit("LLMExtractionError").alias("error_type"), F.lit("llm").alias("component")
+    )
     failed = cleaning.page_failures(cleaned).unionByName(
-        responses.response_failures(parsed).join(places.drop("domain"), "page_id"),
+        responses.response_failures(parsed)
+        .unionByName(unanswered, allowMissingColumns=True)
+        .join(places.drop("domain"), "page_id"),
         allowMissingColumns=True,
     )
     answered_pages = places.join(

@@ -128,19 +128,31 @@ def import_legacy(df: DataFrame, name: str) -> DataFrame:
     return upgrade(df.select(*out.values()), name)
 
 
-def newest_version(
-    spark: SparkSession, root: str, name: str, below: int | None = None
-) -> int | None:
-    """The highest version in the log of complete versions."""
+_LOG = "version long, stream string, batch long"
+
+
+def _log(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The log of complete versions; those of a stream name it and its batch."""
     try:
-        log = spark.read.schema("version long").json(f"{root}/{name}/log")
+        return spark.read.schema(_LOG).json(f"{root}/{name}/log")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    if below is not None:
-        log = log.where(F.col("version") < below)
-    return log.agg(F.max("version")).first()[0]
+
+
+def newest_version(spark: SparkSession, root: str, name: str) -> int | None:
+    """The highest version in the log of complete versions."""
+    log = _log(spark, root, name)
+    return None if log is None else log.agg(F.max("version")).first()[0]
+
+
+def holds_batch(spark: SparkSession, root: str, name: str, stream: str, batch: int) -> bool:
+    """Has this stream's batch become a version already?"""
+    log = _log(spark, root, name)
+    if log is None:
+        return False
+    return not log.where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
 
 def read_table(
@@ -154,19 +166,20 @@ def read_table(
     return upgrade(spark.read.parquet(f"{root}/{name}/v{version}"), name)
 
 
-def write_table(df: DataFrame, root: str, name: str, version: int | None = None) -> int:
+def write_table(
+    df: DataFrame, root: str, name: str, *, stream: str | None = None, batch: int | None = None
+) -> int:
     """Write the next version beside the one that may still be read.
 
     A version counts once it is in the log, so a job that dies half way leaves the old
-    version in force. A given ``version`` is overwritten: a repeated micro-batch writes
-    the same result again.
+    version in force, and what it wrote is overwritten. The log keeps ``stream`` and ``batch``
+    of a micro-batch. One writer at a time.
     """
     spark = df.sparkSession
-    if version is None:
-        last = newest_version(spark, root, name)
-        version = 0 if last is None else last + 1
+    last = newest_version(spark, root, name)
+    version = 0 if last is None else last + 1
     upgrade(df, name).write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    done = spark.createDataFrame([(version,)], "version long").coalesce(1)
+    done = spark.createDataFrame([(version, stream, batch)], _LOG).coalesce(1)
     done.write.mode("append").json(f"{root}/{name}/log")
     return version
 

@@ -8,25 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators.profiles import fold_profiles
-from leafmill.sources.tables import newest_version, read_table, write_table
+from leafmill.sources.tables import holds_batch, newest_version, read_table, write_table
 
 
-def profile_updater(root: str) -> Callable[[DataFrame, int], None]:
+def profile_updater(root: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: fold a micro-batch into the profile table.
 
     A batch is folded like a whole history, so a domain that fills a third of it is
-    shared between tasks; a keyed state function would put it on one. Batch ``n``
-    reads the newest version below ``n`` and writes version ``n``: a batch that Spark
-    repeats after a failure writes the same result again.
+    shared between tasks; a keyed state function would put it on one. It continues from
+    the newest version, whoever wrote that, and writes the next one. The log of versions
+    holds the id of the query, which Spark keeps in the checkpoint and which is new for a new
+    checkpoint, and the batch: one that Spark repeats after a failure is applied once.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = newest_version(spark, root, "domain_profiles", below=batch_id)
+        stream = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        if holds_batch(spark, root, "domain_profiles", stream, batch_id):
+            return
+        older = newest_version(spark, root, "domain_profiles")
         prior = None
         if older is not None:
             prior = read_table(spark, root, "domain_profiles", older)
-        write_table(fold_profiles(batch, prior), root, "domain_profiles", version=batch_id)
+        folded = fold_profiles(batch, prior)
+        write_table(folded, root, "domain_profiles", stream=stream, batch=batch_id)
 
     return update
 
@@ -39,7 +44,7 @@ def start_profile_stream(
     The result equals the batch fold when rows arrive in (ts, id) order; late rows are
     applied when they arrive, and need a batch rebuild to be moved.
     """
-    writer = history.writeStream.foreachBatch(profile_updater(root)).option(
+    writer = history.writeStream.foreachBatch(profile_updater(root, checkpoint)).option(
         "checkpointLocation", checkpoint
     )
     if available_now:

@@ -180,6 +180,38 @@ def test_run_isolates_failures(spark):
     assert [(r["page_id"], r["domain"], r["schema_name"]) for r in run.quality.collect()] == [(1, "a.example", "title_url")]
 
 
+def test_extractor_errors_and_missing_answers_are_failures(spark):
+    class Refused(Exception):
+        error_type, status_code = "LLMProviderError", 503
+
+    def answers(batches):
+        import pandas as pd
+
+        for b in batches:
+            if any("refuse" in t for t in b["user_content"]):
+                raise Refused
+            if any("crash" in t for t in b["user_content"]):
+                raise ValueError
+            b = b[~b["user_content"].str.contains("silent")]
+            said = [503 if "busy" in t else None for t in b["user_content"]]
+            yield pd.DataFrame(
+                {"page_id": b["page_id"], "raw_output": '[{"title": "t", "title": "u"}]',
+                 "error_type": ["LLMProviderError" if s else None for s in said], "status_code": pd.Series(said, b.index, dtype=object)}
+            )
+
+    body = "<p>" + "words " * 20 + "</p>"
+    kinds = ["fine", "refuse", "crash", "silent", "busy", "fine"]
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", f"<p>{k}</p>{body}") for i, k in enumerate(kinds)], "page_id long, url string, html string")
+    schema = {"title": "t"}
+    cleaned, reqs = extraction.build_requests(pages.coalesce(1), schema)
+    run = extraction.finish_run(cleaned, reqs, requests.run_extractor(reqs, answers), schema)
+    assert {r["page_id"]: (r["error_type"], r["status_code"]) for r in run.failures.collect()} == {
+        1: ("LLMProviderError", 503), 2: ("LLMExtractionError", None), 3: ("LLMExtractionError", None), 4: ("LLMProviderError", 503),
+    }
+    assert [(r["page_id"], r["rec"]["title"]) for r in extraction.batch_records(run).orderBy("page_id").collect()] == [(0, "u"), (5, "u")]
+    assert run.quality.count() == 2
+
+
 def test_noise_is_learned_over_three_runs(spark):
     """Candidate after the first run, active after the second, gone from the third's text."""
     from datetime import datetime

@@ -102,6 +102,20 @@ def test_every_average_step_is_the_documented_rounding():
         assert moves[q, a] == round(round(0.3 * (q / 1000) + (1 - 0.3) * (a / 1000), 3) * 1000)
 
 
+def test_scores_that_are_none_are_rejected(spark):
+    rows = [("a", T0, i, q) for i, q in enumerate([1.2, 0.5, -0.2, None, float("nan")])]
+    df = spark.createDataFrame(rows, "domain string, ts timestamp, id long, quality_score double")
+    out = profiles.fold_profiles(df).first()
+    assert (out["avg_quality"], out["total_scrapes"], out["total_successes"]) == (0.5, 1, 1)
+    assert sorted(r["id"] for r in profiles.rejected_scores(df).collect()) == [0, 2, 3, 4]
+
+
+def test_own_default_wait_is_stored_once_it_moved(spark):
+    df = frame(spark, [("still", T0, 1, 0.5), ("poor", T0, 2, 0.1), ("good", T0, 3, 0.9)])
+    out = profiles.fold_profiles(df, default_wait=4.0).collect()
+    assert {r["domain"]: r["wait_seconds"] for r in out} == {"still": 2.0, "poor": 6.0, "good": 3.5}
+
+
 def test_learned_wait_defaults(spark):
     known = profiles.fold_profiles(frame(spark, [("a", T0, 1, 0.0)]))
     asked = spark.createDataFrame([("a",), ("b",)], "domain string")

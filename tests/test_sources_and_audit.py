@@ -89,7 +89,14 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     want = profiles.fold_profiles(df).select(*columns)
     assert key(stream.current_profiles(spark, root).select(*columns)) == key(want)
     # A repeated batch changes nothing.
-    stream.profile_updater(root)(df.where("id >= 600"), 2)
+    stream.profile_updater(root, str(tmp_path / "cp"))(df.where("id >= 600"), 2)
+    assert key(stream.current_profiles(spark, root).select(*columns)) == key(want)
+    # A new checkpoint over the same table goes on from there, though its batches count from 0.
+    later = spark.createDataFrame([("new", datetime(2024, 2, 1), 901, 0.5), ("hot", datetime(2024, 2, 1), 902, 0.1)], ddl)
+    later.coalesce(1).write.parquet(str(tmp_path / "in2"))
+    source = spark.readStream.schema(ddl).parquet(str(tmp_path / "in2"))
+    stream.start_profile_stream(source, root, checkpoint=str(tmp_path / "cp2"), available_now=True).awaitTermination()
+    want = profiles.fold_profiles(df.unionByName(later)).select(*columns)
     assert key(stream.current_profiles(spark, root).select(*columns)) == key(want)
 
 
