@@ -8,7 +8,7 @@ most one summary per partition.
 * ``summarise`` - summaries of the stretches, the base of the folds.
 * ``scan_states`` - state of a small machine before every row.
 * ``chunked_row_number`` - exact row numbers.
-* ``fold_lists`` - folds whose state is a short list.
+* ``last_distinct``, ``fold_lists`` - folds whose state is a short list.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from leafmill.operators.joins import lookup_join
 from leafmill.session import shared_dir, stage
 
 
@@ -273,65 +274,139 @@ def chunked_row_number(
     )
 
 
+def last_distinct(
+    df: DataFrame, keys: list[str], order: list[str], value: str, size: int
+) -> DataFrame:
+    """Keys with the list (``_list``) that a queue of distinct values holds in the end.
+
+    A value already in the queue changes nothing; a new one goes to its end, and the
+    oldest leaves once there are more than ``size``. A key with at most ``size`` distinct
+    values never loses one, so its list is the order of their first rows: sums that
+    combine before the shuffle and a row-number limit, whatever the key's size. Only keys
+    with more values are walked in order (``fold_lists``).
+    """
+    rows = df.select(*keys, *order, value)
+    firsts = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_first", value))
+    heads = (
+        firsts.withColumn("_rank", rank)
+        .where(F.col("_rank") <= size + 1)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", value))).alias("_heads"))
+    )
+    heads = stage(heads, "list-heads")
+    whole = heads.where(F.size("_heads") <= size).select(
+        *keys, F.transform("_heads", lambda h: h[value]).alias("_list")
+    )
+    long = heads.where(F.size("_heads") > size).select(*keys)
+    if long.isEmpty():
+        return whole
+
+    def extend(items: list, item: Any) -> list:
+        return items if item in items else [*items, item][-size:]
+
+    walked = fold_lists(
+        lookup_join(rows, long, keys, "left_semi"), keys, [*order, value], value, extend
+    )
+    return whole.unionByName(walked)
+
+
 def fold_lists(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     value: str,
     extend: Callable[[list, Any], list],
+    *,
+    growth: int = 8,
 ) -> DataFrame:
     """Keys with the list (``_list``) that ``extend(list, value)`` builds in row order.
 
-    Every chunk first starts from an empty list. A chunk that continues a key is walked
-    again from the list its predecessor really ended with, until no starting list
-    changes any more; the other chunks are not touched again. Short lists forget where they started, so two or three rounds are
-    the rule, and the result is exact whenever the rounds end. The driver sees at most
-    two short lists per partition.
+    Every chunk first starts from an empty list. Where a chunk that continues a key turns
+    out to start from another one, it is walked again, together with its neighbours: the
+    stretches walked in one go grow by ``growth`` each round. So the right start reaches
+    the last of n chunks after about log(n) rounds even where no list ever forgets where it
+    began, and rounds end earlier where lists do. A walk streams through sorted rows and
+    holds one list. The driver sees two short lists per partition and round.
     """
-    rows = chunked(df.select(*keys, *order, value), keys, order)
+    rows = chunked(df.select(*dict.fromkeys([*keys, *order, value])), keys, order)
     sc = df.sparkSession.sparkContext
+    schema = StructType(
+        [rows.schema[k] for k in keys]
+        + StructType.fromDDL(
+            "_chunk int, _continues boolean, _entry array<string>, _list array<string>"
+        ).fields
+    )
+    names = schema.names
+    kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def pass_over(part_of: DataFrame, entries: dict[int, list]) -> DataFrame:
+    def pass_over(part_of: DataFrame, entries: dict[int, list], width: int) -> DataFrame:
         shared = sc.broadcast(entries)
 
-        def new(continues: bool) -> dict:
-            return {"continues": continues, "list": [] if not continues else None}
-
-        def absorb(state: dict, chunk: np.ndarray, values: np.ndarray) -> dict:
-            built = state["list"]
-            if built is None:
-                built = list(shared.value.get(int(chunk[0]), []))
-            for v in values:
-                built = extend(built, v)
-            return {"continues": state["continues"], "list": built}
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, head, built, done = None, (), [], []
+
+            def flush() -> pa.RecordBatch:
+                out = [dict(zip(names, row)) for row in done]
+                done.clear()
+                return pa.RecordBatch.from_pylist(out, schema=kinds)
+
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                values = _column(batch, value).to_pylist()
+                for (chunk, *key), a, b in _runs(batch, ["_chunk", *keys]):
+                    if at != (chunk, key):
+                        if at is not None:
+                            done.append((*head, built))
+                        continues = at is None or at[0] != chunk
+                        if at is None or at[0] // width != chunk // width:
+                            built = shared.value.get(chunk, [])
+                        elif at[1] != key:
+                            built = []
+                        at, head = (chunk, key), (*key, chunk, continues, built)
+                    for v in values[a:b]:
+                        built = extend(built, v)
+                if len(done) >= 10_000:
+                    yield flush()
+            if at is not None:
+                done.append((*head, built))
+                yield flush()
 
-        part = Part(
-            "_s", "struct<continues:boolean,list:array<string>>", ["_chunk", value], new, absorb
-        )
-        return summarise(part_of, keys, [part])
+        return part_of.select(*keys, value, "_chunk").mapInArrow(walk, schema)
 
-    result = stage(pass_over(rows, {}), "lists")
-    entries: dict[int, list] = {}
+    result = stage(pass_over(rows, {}, 1), "lists")
+    width = 1
     while True:
         # First and last stretch of every chunk; a stretch may be both.
         edges = (
             result.groupBy("_chunk")
             .agg(
-                F.max_by(F.struct(*keys), "_s.continues").alias("first"),
-                F.max(F.struct(*keys, "_s.list")).alias("last"),
+                F.max_by(F.struct(*keys, "_entry"), "_continues").alias("first"),
+                F.max(F.struct(*keys, "_list")).alias("last"),
             )
             .orderBy("_chunk")
             .collect()
         )
         found: dict[int, list] = {}
+        stale: list[int] = []
         for before, here in zip(edges, edges[1:]):
             if all(before["last"][k] == here["first"][k] for k in keys):
-                found[here["_chunk"]] = list(before["last"]["list"])
-        stale = [c for c, state in found.items() if entries.get(c, []) != state]
+                found[here["_chunk"]] = list(before["last"]["_list"])
+                if here["first"]["_entry"] != before["last"]["_list"]:
+                    stale.append(here["_chunk"])
         if not stale:
             break
-        entries = found
-        again = pass_over(rows.where(F.col("_chunk").isin(stale)), entries)
-        good = result.where(~F.col("_chunk").isin(stale))
+        width *= growth
+        group = F.floor(F.col("_chunk") / width).cast("int")
+        groups = sorted({c // width for c in stale})
+        again = pass_over(
+            rows.where(group.isin(groups))
+            .repartition(len(groups), group)
+            .sortWithinPartitions("_chunk", *keys, *order),
+            found,
+            width,
+        )
+        good = result.where(~group.isin(groups))
         result = stage(good.unionByName(again), "lists")
-    return result.groupBy(*keys).agg(F.max_by("_s.list", "_chunk").alias("_list"))
+    return result.groupBy(*keys).agg(F.max_by("_list", "_chunk").alias("_list"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill import fixed_values as fv
 from leafmill.operators.joins import lookup_join
-from leafmill.operators.ordered import chunked_row_number, fold_lists
+from leafmill.operators.ordered import chunked_row_number, last_distinct
 from leafmill.session import stage
 
 KEY = ["domain", "rule_type", "selector"]
@@ -87,12 +87,6 @@ def rejected_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.where(~F.col("rule_type").isin(fv.RULE_TYPES))
 
 
-def _keep_last(items: list, item: str) -> list:
-    if item in items:
-        return items
-    return [*items, item][-EVIDENCE_KEPT:]
-
-
 def fold_evidence(
     evidence: DataFrame, rules: DataFrame | None = None, *, activation_count: int = 2
 ) -> DataFrame:
@@ -148,7 +142,7 @@ def fold_evidence(
                 "_id", F.col("_id").cast("long")
             )
         )
-    kept = fold_lists(seeds, KEY, ["_at", "_id"], "evidence", _keep_last)
+    kept = last_distinct(seeds, KEY, ["_at", "_id"], "evidence", EVIDENCE_KEPT)
     is_new = F.col("_status0").isNull()
     n = F.coalesce("_n", F.lit(0))
     single = is_new & (F.col("_n") == 1)

@@ -5,10 +5,11 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import profiles
-from leafmill.operators.ordered import chunked, chunked_row_number, fold_lists, scan_states
+from leafmill.operators.ordered import chunked, chunked_row_number, fold_lists, last_distinct, scan_states
 
 T0 = datetime(2024, 1, 1)
 
@@ -177,18 +178,45 @@ def test_scan_gives_the_state_before_each_row(spark):
     assert {r["i"]: r["_before"] for r in out.collect()} == want
 
 
+def _queues(rows):
+    want = defaultdict(list)
+    for key, _, v in rows:
+        if v not in want[key]:
+            want[key] = [*want[key], v][-10:]
+    return dict(want)
+
+
 def test_lists_are_exact_across_chunks(spark):
     """First in, first out of ten, with few repeats: what a chunk ends with depends on
     what it began with."""
     rng = random.Random(6)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(9)}", i, str(rng.randrange(14))) for i in range(2000)]
+    rows += [("few", i, rng.choice(["a", "b", None])) for i in range(2000, 2100)]
 
     def extend(items, item):
         return items if item in items else [*items, item][-10:]
 
-    want = defaultdict(list)
-    for key, _, v in rows:
-        want[key] = extend(want[key], v)
+    df = spark.createDataFrame(rows, "key string, i long, v string").repartition(5)
+    for lists in (fold_lists(df, ["key"], ["i"], "v", extend, growth=2), last_distinct(df, ["key"], ["i"], "v", 10)):
+        assert {r["key"]: r["_list"] for r in lists.collect()} == _queues(rows)
+    assert last_distinct(df.limit(0), ["key"], ["i"], "v", 10).count() == 0
+
+
+@pytest.mark.parametrize("values", [6, 11, 40])
+def test_lists_take_few_jobs_for_many_chunks(spark, values):
+    """Eleven values never forget the order in which they came first."""
+    rng = random.Random(values)
+    rows = [("hot", i, str(rng.randrange(values))) for i in range(3000)]
     df = spark.createDataFrame(rows, "key string, i long, v string")
-    got = {r["key"]: r["_list"] for r in fold_lists(df, ["key"], ["i"], "v", extend).collect()}
-    assert got == dict(want)
+    jobs = {}
+    for chunks in (8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(chunks))
+        spark.sparkContext.setJobGroup(f"lists-{values}-{chunks}", "")
+        try:
+            got = last_distinct(df, ["key"], ["i"], "v", 10).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "7")
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[chunks] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lists-{values}-{chunks}"))
+        assert {r["key"]: r["_list"] for r in got} == _queues(rows)
+    assert 0 < jobs[64] <= (jobs[8] if values == 6 else 40), jobs

@@ -227,10 +227,25 @@ def test_large_lookups_join_like_small_ones(spark):
     rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.select(*sorted(df.columns)).collect())
     for how in ("left", "inner", "left_semi", "left_anti"):
         small = lookup_join(big, look, ["domain"], how)
-        split = lookup_join(big, look, ["domain"], how, max_rows=1, hot_rows=500)
-        plain = lookup_join(big, look, ["domain"], how, max_rows=1)
-        assert rows(small) == rows(split) == rows(plain)
-        assert split.columns == small.columns
+        split = lookup_join(big, look, ["domain"], how, max_rows=1, hot_share=0.1)
+        salted = lookup_join(big, look, ["domain"], how, max_rows=1, max_chars=1, hot_share=0.1)
+        plain = lookup_join(big, look, ["domain"], how, max_rows=1, hot_share=1)
+        assert rows(small) == rows(split) == rows(salted) == rows(plain)
+        assert split.columns == salted.columns == small.columns
+        none = lookup_join(big.limit(0), look, ["domain"], how, max_rows=1)
+        assert none.count() == 0 and none.columns == small.columns
+
+
+def test_broadcast_bounds_are_settings(spark):
+    from leafmill.operators.joins import is_small
+
+    table = spark.range(10)
+    assert is_small(table)
+    spark.conf.set("spark.leafmill.broadcastRows", "9")
+    try:
+        assert not is_small(table)
+    finally:
+        spark.conf.unset("spark.leafmill.broadcastRows")
 
 
 def test_tables_keep_versions_and_upgrade(spark, tmp_path):
