@@ -1,4 +1,4 @@
-"""One pass over a page: visible text, applied rules and noise classes."""
+"""One pass over a page: visible text, applied rules, noise classes and, if asked for, links."""
 
 from __future__ import annotations
 
@@ -136,7 +136,8 @@ class PageTree:
             if "=" in text:
                 for key, double, single, bare in _ATTR.findall(text):
                     key = key.lower()
-                    if key in ("class", "id", "style") and key not in found:
+                    wanted = key in ("class", "id", "style") or key == "href" and name == "a"
+                    if wanted and key not in found:
                         found[key] = decode_entities(double or single or bare)
             self.names.append(name)
             self.attrs.append(found)
@@ -156,6 +157,11 @@ class PageTree:
         self.live[i:last] = bytes(last - i)
         self.shown[start:to] = bytes(to - start)
 
+    def text_of(self, i: int) -> str:
+        """All text inside an element, removed or not, on one line."""
+        start, to, _ = self.spans[i]
+        return " ".join(" ".join(self.pieces[start:to]).split())
+
     def text(self) -> str:
         kept = "\n".join(p for p, show in zip(self.pieces, self.shown) if show)
         return re.sub(r"\n{3,}", "\n\n", kept).strip()
@@ -176,6 +182,15 @@ def _noise(tree: PageTree) -> list[dict]:
     ]
 
 
+def _links(tree: PageTree) -> list[dict]:
+    """Anchors with a target in page order; ``shown`` tells whether cleaning kept them."""
+    return [
+        {"text": tree.text_of(i), "url": attrs["href"].strip(), "shown": bool(tree.live[i])}
+        for i, attrs in enumerate(tree.attrs)
+        if "href" in attrs
+    ]
+
+
 def _apply_rules(tree: PageTree, rules: list[dict]) -> list[int]:
     """Apply rules in the given order; a rule counts when it still finds something."""
     applied = []
@@ -218,6 +233,21 @@ CLEAN_SCHEMA = (
     "struct<text:string,applied_rule_ids:array<bigint>,"
     "noise:array<struct<class_name:string,n:int,pos:int>>>"
 )
+_LINKS_TYPE = pa.struct(
+    [
+        *_CLEAN_TYPE,
+        ("title", pa.string()),
+        (
+            "links",
+            pa.list_(
+                pa.struct([("text", pa.string()), ("url", pa.string()), ("shown", pa.bool_())])
+            ),
+        ),
+    ]
+)
+LINKS_SCHEMA = (
+    CLEAN_SCHEMA[:-1] + ",title:string,links:array<struct<text:string,url:string,shown:boolean>>>"
+)
 
 
 _DROPPED = set(fv.DROPPED_TAGS)
@@ -233,8 +263,10 @@ _PROFILES = {
 }
 
 
-def clean_page(html: str, rules: list[dict] | None = None, profile: str = "standard") -> dict:
-    """Visible text, applied rule ids and noise classes of one page."""
+def clean_page(
+    html: str, rules: list[dict] | None = None, profile: str = "standard", links: bool = False
+) -> dict:
+    """Visible text, applied rule ids and noise classes of one page; title and links too."""
     overlay, hidden = _PROFILES[profile]
     tree = PageTree(html)
     noise = _noise(tree)
@@ -247,21 +279,26 @@ def clean_page(html: str, rules: list[dict] | None = None, profile: str = "stand
         ):
             tree.remove(i)
     applied = _apply_rules(tree, rules) if rules else []
-    return {"text": tree.text(), "applied_rule_ids": applied, "noise": noise}
+    out = {"text": tree.text(), "applied_rule_ids": applied, "noise": noise}
+    if links:
+        title = next((i for i, name in enumerate(tree.names) if name == "title"), None)
+        out |= {"title": "" if title is None else tree.text_of(title), "links": _links(tree)}
+    return out
 
 
-def clean_html_udf(profile: str = "standard"):
+def clean_html_udf(profile: str = "standard", links: bool = False):
     """Arrow UDF ``(html, rules) -> struct``; ``profile='compat'`` is the older variant."""
+    kind, schema = (_LINKS_TYPE, LINKS_SCHEMA) if links else (_CLEAN_TYPE, CLEAN_SCHEMA)
 
     def clean_html(html: pa.Array, rules: pa.Array) -> pa.Array:
         return pa.array(
             [
-                clean_page(h or "", r, profile)
+                clean_page(h or "", r, profile, links)
                 for h, r in zip(html.to_pylist(), rules.to_pylist())
             ],
-            _CLEAN_TYPE,
+            kind,
         )
 
     # Called non-deterministic so that a later filter on the text is not pushed below
     # this step as a second copy of it: every page is parsed once.
-    return F.arrow_udf(clean_html, CLEAN_SCHEMA).asNondeterministic()
+    return F.arrow_udf(clean_html, schema).asNondeterministic()

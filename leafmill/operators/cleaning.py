@@ -37,13 +37,18 @@ def rules_by_domain(rules: DataFrame) -> DataFrame:
 
 
 def clean_pages(
-    pages: DataFrame, rules: DataFrame | None = None, *, profile: str = "standard"
+    pages: DataFrame,
+    rules: DataFrame | None = None,
+    *,
+    profile: str = "standard",
+    links: bool = False,
 ) -> DataFrame:
     """Pages with visible text, the ids of rules that removed something, noise classes.
 
     ``pages``: url, html and any other columns; html itself is dropped. Pages that show
     a challenge never reach the parser. One pass, no shuffle of html: rules are
-    broadcast when a count shows that they are few.
+    broadcast when a count shows that they are few. ``links`` adds the page's title and
+    anchors (text, url, shown), found in the same pass.
     """
     out = pages.withColumn("domain", url_domain(F.col("url"))).withColumn(
         "challenge", challenge(F.col("html"))
@@ -53,7 +58,7 @@ def clean_pages(
     else:
         out = lookup_join(out, rules_by_domain(rules), ["domain"])
     html = F.when(F.col("challenge").isNull(), F.col("html"))
-    out = out.withColumn("_clean", clean_html_udf(profile)(html, "cleaning_rules"))
+    out = out.withColumn("_clean", clean_html_udf(profile, links)(html, "cleaning_rules"))
     kept = [c for c in pages.columns if c != "html"]
     text = F.when(F.col("challenge").isNull(), F.col("_clean.text"))
     return out.select(
@@ -63,6 +68,7 @@ def clean_pages(
         text.alias("text"),
         F.col("_clean.applied_rule_ids").alias("applied_rule_ids"),
         F.col("_clean.noise").alias("noise"),
+        *[F.col(f"_clean.{c}").alias(c) for c in ("title", "links") if links],
     )
 
 

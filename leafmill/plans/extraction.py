@@ -245,24 +245,17 @@ def fold_run(
     return new_profiles, out
 
 
-def link_records(pages: DataFrame) -> DataFrame:
-    """Rule-based records for the LINKS schema, straight from the page source.
+def link_records(cleaned: DataFrame, *, shown_only: bool = False) -> DataFrame:
+    """Rule-based records for the LINKS schema.
 
-    Built-in expressions only: one scan, no shuffle.
+    ``cleaned``: page_id, url, title, links from ``clean_pages(..., links=True)``. Links
+    in navigation and other blocks that hold no page text are links all the same;
+    ``shown_only`` leaves them out.
     """
-    anchor = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
-    title = F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)
-    links = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"),
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("url"),
+    links = F.filter("links", lambda l: l["shown"]) if shown_only else F.col("links")
+    found = cleaned.select(
+        "page_id", "url", F.col("title").alias("_title"), F.posexplode(links).alias("rec_ord", "_l")
     )
-    # Title and links first, so that html ends below the explode. Outer, then without
-    # the empty ones: the filter that Spark derives from a plain explode would search
-    # every page a second time.
-    read = pages.select("page_id", "url", title.alias("_title"), links.alias("_links"))
-    found = read.select(
-        "page_id", "url", "_title", F.posexplode_outer("_links").alias("rec_ord", "_l")
-    ).where("rec_ord is not null")
     rec = F.create_map(
         F.lit("text"), F.col("_l.text"), F.lit("url"), F.col("_l.url"),
         F.lit("context"), F.col("_title"),
@@ -272,9 +265,15 @@ def link_records(pages: DataFrame) -> DataFrame:
 
 def link_quality_by_domain(pages: DataFrame) -> DataFrame:
     """The smallest full run: links of every readable page, scored, per domain."""
-    cleaned = cleaning.clean_pages(pages)
-    readable = cleaning.extractable(cleaned).select("page_id", "url", "domain")
-    records = link_records(pages)
+    # Written once without html and text: pages are scanned and parsed once.
+    cleaned = stage(
+        cleaning.extractable(cleaning.clean_pages(pages, links=True)).select(
+            "page_id", "url", "domain", "title", "links"
+        ),
+        "links",
+    )
+    readable = cleaned.select("page_id", "url", "domain")
+    records = link_records(cleaned)
     quality = scoring.score_records(records, fv.SCHEMAS["LINKS"], readable)
     return (
         quality.groupBy("domain")

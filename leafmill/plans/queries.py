@@ -410,7 +410,8 @@ def text_answers(spark, sf):
 
 @query
 def resolved_links(spark, sf):
-    out = extraction.link_records(views.pages(spark, sf))
+    cleaned = cleaning.clean_pages(views.linked_pages(spark, sf), links=True)
+    out = extraction.link_records(cleaned)
     return out.select(
         "page_id", F.col("rec_ord").cast("long").alias("rec_ord"),
         F.col("rec.text").alias("text"), F.col("rec.url").alias("link"),

@@ -271,6 +271,21 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
 
 
+#: Anchors of every form, and two that are no links.
+ANCHORS = (
+    "<a href='/single'>one</a><A class=\"x\" HREF=/bare>two</A>"
+    '<p><a title="a>b" href="/nested?q=1&amp;r=2"><b>three</b> &amp; <i>four</i></a></p>'
+    '<aside><a\nhref = "/aside">five</a></aside><a name="top">no target</a>'
+    '<!-- <a href="/comment">c</a> --><a href="/empty"></a>'
+)
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with anchors of every form before the article's own text."""
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit("<article>" + ANCHORS))
+    return pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
+
+
 def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rules for every domain of ``pages``; the tag rule is not active everywhere."""
     base = (

@@ -288,7 +288,16 @@ LINKS = r"""l AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '(?
 k AS (SELECT page_id, url, rec_ord, regexp_extract(a, '>([^<]*)<', 1) AS text, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
   regexp_extract(url, '^(https?://[^/]*)', 1) AS site, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title FROM l),
 links AS (SELECT *, CASE WHEN href LIKE '/%' THEN site || href ELSE href END AS link FROM k)"""
-ORACLE["resolved_links"] = f"WITH {LINKS} SELECT page_id, rec_ord::BIGINT AS rec_ord, text, link FROM links"
+# The anchors that the query's input adds after the navigation.
+ADDED_LINKS = """(VALUES (0, 'one', '/single'), (1, 'two', '/bare'), (2, 'three & four', '/nested?q=1&r=2'),
+  (3, 'five', '/aside'), (4, '', '/empty')) AS a(n, text, path)"""
+ORACLE["resolved_links"] = f"""
+WITH {LINKS}, site AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) AS site FROM pages),
+own AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id)
+SELECT page_id, rec_ord::BIGINT AS rec_ord, text, link FROM links
+UNION ALL
+SELECT page_id, (coalesce(own.n, 0) + a.n)::BIGINT, a.text, site || a.path
+FROM site LEFT JOIN own USING (page_id) CROSS JOIN {ADDED_LINKS}"""
 ORACLE["resolved_links_compat"] = """
 SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/about/' || page_id AS website,
   'https:relative' AS link, '' AS image_url FROM pages"""

@@ -211,3 +211,15 @@ def test_noise_proposals(spark):
         ("ad", "class=ad;count=3", min(0.8, 0.45 + 3 * 0.05)),
         ("promo-card", "class=promo-card;count=2", 0.45 + 2 * 0.05),
     ]
+
+
+def test_links_of_every_form():
+    from leafmill.plans.views import ANCHORS
+
+    page = clean_page(f"<title> A &amp;\n B </title><nav><a href='/n'>nav</a></nav><article>{ANCHORS}</article>", links=True)
+    assert page["title"] == "A & B"
+    assert [(x["text"], x["url"], x["shown"]) for x in page["links"]] == [
+        ("nav", "/n", False), ("one", "/single", True), ("two", "/bare", True), ("three & four", "/nested?q=1&r=2", True),
+        ("five", "/aside", False), ("", "/empty", True),
+    ]
+    assert clean_page("", links=True)["links"] == [] and "links" not in clean_page("<a href=x>y</a>")
