@@ -366,3 +366,8 @@ AUDIT_REASONS = {
         "Command references home directory — verify it stays within the workspace scope"
     ),
 }
+
+# --- schemas -------------------------------------------------------------------
+CUSTOM_DESCRIPTION = "The {} value"
+UNKNOWN_SCHEMA = "Unknown schema '{}'. Available: {}"
+NO_FIELDS = "fields must contain at least one name"

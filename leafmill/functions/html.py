@@ -192,25 +192,22 @@ def _links(tree: PageTree) -> list[dict]:
 
 
 def _apply_rules(tree: PageTree, rules: list[dict]) -> list[int]:
-    """Apply rules in the given order; a rule counts when it still finds something."""
+    """Apply rules in the given order; a rule counts when it still finds something.
+
+    One look at every element, then one look-up per rule.
+    """
+    places: dict[tuple[str, str], list[int]] = {}
+    for i, (name, attrs) in enumerate(zip(tree.names, tree.attrs)):
+        marks = {("tag", name), ("id", attrs.get("id", ""))}
+        marks.update(("class", c) for c in _CLASS_SPLIT.split(attrs.get("class", "").strip()))
+        for mark in marks:
+            places.setdefault(mark, []).append(i)
     applied = []
     for rule in rules:
         kind, selector = rule["rule_type"], rule["selector"]
-        hits = []
-        for i, alive in enumerate(tree.live):
-            if not alive:
-                continue
-            if kind == "class":
-                hit = selector in _CLASS_SPLIT.split(tree.attrs[i].get("class", "").strip())
-            elif kind == "id":
-                hit = tree.attrs[i].get("id") == selector
-            else:
-                hit = kind == "tag" and tree.names[i] == selector
-            if hit and selector:
-                hits.append(i)
-                if kind == "id":
-                    break
-        for i in hits:
+        found = places.get((kind, selector), ()) if selector else ()
+        hits = [i for i in found if tree.live[i]]
+        for i in hits[:1] if kind == "id" else hits:
             tree.remove(i)
         if hits:
             applied.append(rule["id"])

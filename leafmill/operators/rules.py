@@ -154,7 +154,9 @@ def fold_evidence(
         "_explicit_first", F.lit(False)
     )
     count = F.coalesce("_n0", F.lit(0)) + n + first_counts_two.cast("int")
-    reached = (count >= activation_count) & (confidence >= 0.7) & (n > 0) & ~single
+    # Compared on a fixed scale: the last bits of a product depend on the order of its factors.
+    sure = F.round(confidence, 9) >= 0.7
+    reached = (count >= activation_count) & sure & (n > 0) & ~single
     was = F.coalesce("_status0", F.lit("candidate"))
     status = (
         F.when(F.coalesce("_explicit", F.lit(False)), "active")

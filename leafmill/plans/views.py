@@ -271,6 +271,15 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
 
 
+#: A schema of a user's own: plain descriptions beside typed fields.
+TYPED_SCHEMA = {
+    "name": "What it is called",
+    "price": {"description": "What it costs", "type": "number", "required": True, "min": 0, "max": 99.5},
+    "seen": {"type": "date"},
+    "stock": {"description": "Pieces left", "type": "integer", "min": 1},
+}
+
+
 #: Anchors of every form, and two that are no links.
 ANCHORS = (
     "<a href='/single'>one</a><A class=\"x\" HREF=/bare>two</A>"

@@ -56,6 +56,21 @@ asked AS (SELECT page_id, upper(replace(replace({at("page_id % 6", "articles", "
 SELECT page_id, asked.schema_key, coalesce(fields, '') AS fields, coalesce(schema_name, '') AS schema_name
 FROM asked LEFT JOIN c USING (schema_key)"""
 
+_rows = [(k, i, f, d, None, False, None, None) for k, s in fv.SCHEMAS.items() for i, (f, d) in enumerate(s.items())]
+_rows += [
+    ("TYPED_ROWS", 0, "name", "What it is called", None, False, None, None),
+    ("TYPED_ROWS", 1, "price", "What it costs", "number", True, 0.0, 99.5),
+    ("TYPED_ROWS", 2, "seen", "", "date", False, None, None),
+    ("TYPED_ROWS", 3, "stock", "Pieces left", "integer", False, 1.0, None),
+]
+_sql = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v)
+_rows = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _rows)
+ORACLE["schema_catalog_fields"] = f"""
+SELECT page_id, schema_key, ordinal::INTEGER AS ordinal, field, description, spec_type, required::BOOLEAN AS required,
+  min_val::DOUBLE AS min_val, max_val::DOUBLE AS max_val
+FROM (SELECT page_id, {at("page_id % 4", "LINKS", "TYPED_ROWS", "REAL_ESTATE_AGENTS", "NOTHING")} AS schema_key FROM pages)
+JOIN (VALUES {_rows}) AS c(schema_key, ordinal, field, description, spec_type, required, min_val, max_val) USING (schema_key)"""
+
 ORACLE["custom_schema_fields"] = """
 WITH l AS (SELECT p_partkey, CASE WHEN p_size = 1 THEN ' , '
   ELSE ' , ' || replace(p_name, ' ', ' ,') || ', ,' || lower(p_type) END AS names FROM part),

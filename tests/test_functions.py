@@ -5,7 +5,7 @@ import json
 import math
 import random
 from datetime import datetime
-from urllib.parse import urljoin, urlparse, urlsplit, urlunsplit
+from urllib.parse import urljoin, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,23 +55,27 @@ def test_url_domain(spark):
     assert column(spark, values, T.url_domain) == [urlparse(v).netloc for v in values]
 
 
-def safe(url):
-    """What a redacted URL must be, by the standard library."""
-    try:
-        parts = urlsplit(url)
-        host, port = parts.hostname or "", parts.port
-    except ValueError:
-        return "<invalid-url>"
-    return urlunsplit((parts.scheme, f"{host}:{port}" if port else host, parts.path, "", ""))
-
-
 def test_redact_url(spark):
-    values = [
-        "https://user:secret@example.com/path?token=x#frag", "HTTP://EXAMPLE.com:8080/A/B", "https://h:0/x",
-        "https://h:/x", "https://h:99999/", "https://h:x/", "https://[::1]:443/x", "https://[::1/x", "/only/path?q",
-        "relative/path", "", "mailto:someone@example.com", "//host/x", "https://h", "https://a@b@c/d", "https://h:080/",
-    ]
-    assert column(spark, values, T.redact_url) == [safe(v) for v in values]
+    expected = {
+        "https://user:secret@example.com/path?token=x#frag": "https://example.com/path",
+        "HTTP://EXAMPLE.com:8080/A/B": "http://example.com:8080/A/B",
+        "https://h:0/x": "https://h/x",
+        "https://h:/x": "https://h/x",
+        "https://h:99999/": "<invalid-url>",
+        "https://h:x/": "<invalid-url>",
+        "https://[::1]:443/x": "https://::1:443/x",
+        "https://[::1/x": "<invalid-url>",
+        "/only/path?q": "/only/path",
+        "relative/path": "relative/path",
+        "": "",
+        "mailto:someone@example.com": "mailto:someone@example.com",
+        "//host/x": "//host/x",
+        "https://h": "https://h",
+        "https://a@b@c/d": "https://c/d",
+        "https://h:080/": "https://h:80/",
+        "https://h:0000000080/y": "https://h:80/y",
+    }
+    assert column(spark, list(expected), T.redact_url) == list(expected.values())
 
 
 @pytest.mark.parametrize(
