@@ -11,7 +11,7 @@ from leafmill import fixed_values as fv
 from leafmill.functions.text import resolve_links, schema_name_of, strip, url_domain
 from leafmill.operators import cleaning, requests, responses, rules, scoring
 from leafmill.operators.profiles import fold_profiles
-from leafmill.operators.prompts import judge_candidates, save_candidates
+from leafmill.operators.prompts import count_usage, judge_candidates, save_candidates
 from leafmill.session import stage
 
 
@@ -245,6 +245,14 @@ def fold_run(
     return new_profiles, out
 
 
+def prompts_after(run: Run, prompts: DataFrame, schema: dict[str, Any]) -> DataFrame:
+    """``prompts`` with one more use of a domain's best prompt for each page that was asked for."""
+    asked = run.cleaned.join(run.requests.select("page_id"), "page_id", "left_semi")
+    return count_usage(
+        prompts, asked.select("domain", F.lit(schema_name_of(schema)).alias("schema_name"))
+    )
+
+
 def link_records(cleaned: DataFrame, *, shown_only: bool = False) -> DataFrame:
     """Rule-based records for the LINKS schema.
 

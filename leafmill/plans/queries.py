@@ -491,6 +491,24 @@ def batch_run_quality(spark, sf):
     )
 
 
+@query
+def run_prompt_usage(spark, sf):
+    """Prompts after a run, where every domain had an accepted one and a rejected one."""
+    schema = fv.SCHEMAS["ARTICLES"]
+    domains = extraction.domain_of(views.pages(spark, sf)).groupBy("domain").agg(F.min("page_id").alias("k"))
+    before = domains.select(
+        "domain", F.lit(schema_name_of(schema)).alias("schema_name"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("rejected"), "k",
+    ).select(
+        "domain", "schema_name", (F.col("k") * 2 + F.col("rejected")).alias("id"),
+        F.when(F.col("rejected") == 1, "rejected").otherwise("accepted").alias("status"),
+        F.lit(0.5).alias("candidate_quality"), F.lit(1).alias("version"),
+        F.lit(3).cast("long").alias("times_used"),
+    )
+    after = extraction.prompts_after(_article_run(spark, sf), before, schema)
+    return after.select("id", "domain", "status", "times_used")
+
+
 @query
 def batch_run_strategy(spark, sf):
     """Profiles after the run, from none before it."""

@@ -340,6 +340,11 @@ SELECT page_id, domain, 'author_category_headline_published_date' AS schema_name
 ORACLE["batch_run_strategy"] = f"""
 WITH {RUN}, {RUN_SCORE}, h AS (SELECT page_id AS id, domain, TIMESTAMP '2024-02-01' AS ts, score AS q FROM s),
 {PROFILES} SELECT * FROM p"""
+ORACLE["run_prompt_usage"] = f"""
+WITH {RUN}, known AS (SELECT {URL_DOMAIN} AS domain, min(page_id) AS k FROM pages GROUP BY 1),
+asked AS (SELECT domain, count(*) AS n FROM ok GROUP BY 1)
+SELECT k * 2 AS id, domain, 'accepted' AS status, (3 + coalesce(n, 0))::BIGINT AS times_used FROM known LEFT JOIN asked USING (domain)
+UNION ALL SELECT k * 2 + 1, domain, 'rejected', 3::BIGINT FROM known"""
 # The same run with learned rules: the text, and so the thin-page check, comes after them.
 RULED = f"""{MARKED}, {PAGE_RULES},
 j AS (SELECT m.*, base, base % 20 <> 0 AS tag_rule, {_cookie(_hidden("html"))} AS html1
