@@ -46,8 +46,8 @@ def _count(batches: Batches, vocabulary):
 class Block:
     """The windows of a block of items, by their rarest word."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], size: int):
-        self.items: dict[tuple[bytes, ...], list[int]] = {}
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], counts: dict[bytes, int], size: int):
+        self.items: dict[tuple[bytes, ...], list[int | None]] = {}
         self.places: dict[bytes, list[tuple[int, int]]] = {}
         for item, words in items:
             for window in windows_of(words, size):
@@ -90,9 +90,10 @@ _FOUND = pa.struct(
         ("n_words", pa.int64()),
         ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         ("items", pa.list_(pa.int64())),
+        ("unnamed", pa.bool_()),
     ]
 )
-FOUND_SQL = "struct<n_words: long, runs: array<struct<start: int, end: int>>, items: array<long>>"
+FOUND_SQL = "struct<n_words: long, runs: array<struct<start: int, end: int>>, items: array<long>, unnamed: boolean>"
 
 
 def _mark(batches: Batches, block):
@@ -105,10 +106,13 @@ def _mark(batches: Batches, block):
             items = {i for _, _, window in found for i in block.value.items[window]}
             if before:
                 runs += [(r["start"], r["end"]) for r in before["runs"]]
-                items.update(before["items"])
+                items.update(before["items"], [None] * before["unnamed"])
             out.append(
-                {"n_words": len(words), "runs": [{"start": a, "end": b} for a, b in merged(runs)], "items": sorted(items)}
-            )
+                {
+                    "n_words": len(words), "runs": [{"start": a, "end": b} for a, b in merged(runs)],
+                    "items": sorted(items - {None}), "unnamed": None in items,
+                }
+            )
         yield pa.RecordBatch.from_arrays(
             [rows.column("row"), rows.column("text"), pa.array(out, _FOUND)], names=["row", "text", "found"]
         )
@@ -126,10 +130,12 @@ def mark(
 ) -> DataFrame:
     """Every document with what it shares with the benchmark: ``row`` (struct of ``carry``) and ``found``.
 
-    ``found`` has n_words, runs (maximal runs of hit words, as word numbers, ends exclusive)
-    and items (ids of the items with an occurring window, sorted). Words: A-Z in lower
+    ``found`` has n_words, runs (maximal runs of hit words, as word numbers, ends exclusive),
+    items (ids of the items with an occurring window, sorted) and unnamed (whether items
+    without an id are among them; all of those are one item). Words: A-Z in lower
     case, then runs of digits, letters and characters beyond ASCII. Null and empty texts
-    have no words and no hits; items without words, or without an id, match nothing.
+    have no words and no hits; items without words match nothing, those without an id
+    mark words like any other.
     Repeated documents are judged each for itself, repeated items count by id. Empty tables
     on either side give no rows, or rows without hits. Carried columns may have any names.
     """
@@ -139,7 +145,7 @@ def mark(
         F.lit(None).cast(FOUND_SQL).alias("found"),
     )
     kind = marked.schema["row"].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).dropna(subset=["text"])
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for b in range(blocks):

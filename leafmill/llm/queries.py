@@ -58,7 +58,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.aggregate("found.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     items = F.array_join(F.array_sort(F.transform("found.items", lambda i: i.cast("string"))), ",")
     return marked.select(
-        "row.doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        "row.doc_id", "found.n_words", hit.alias("n_hit"), (F.size("found.items") + F.col("found.unnamed").cast("int")).cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 

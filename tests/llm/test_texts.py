@@ -132,6 +132,28 @@ def test_decontamination(spark, docs, rows, block_bytes):
     assert sum(h > 0 for _, _, h, _ in want) >= 8
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 20])
+def test_benchmark_items_without_an_id_mark_words(spark, tmp_path, monkeypatch, block_bytes):
+    import duckdb
+
+    from leafmill.llm import oracle, queries
+
+    long = " ".join(f"w{k}" for k in range(14))
+    texts = [(1, f"see {long} end"), (2, "only here"), (3, "named too"), (4, None), (5, "nothing of it"), (6, f"only here {long}")]
+    items = [(None, long), (None, "only here"), (7, "named too"), (7, "only here"), (None, None), (None, "..."), (None, long)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontamination.mark, "__defaults__", (*decontamination.mark.__defaults__[:-1], block_bytes))
+    got = {r.doc_id: tuple(r) for r in queries.QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == {r[0]: r for r in con.execute(oracle.ORACLE["op5_decontamination"]).fetchall()}
+    assert {i: (r[2], r[3], r[5]) for i, r in got.items()} == {
+        1: (14, 1, True), 2: (2, 2, True), 3: (2, 1, True), 4: (0, 0, False), 5: (0, 0, False), 6: (16, 2, True)
+    }
+
+
 def linked(rows, width):
     sets = []
     for _, t in rows:
