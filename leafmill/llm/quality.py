@@ -9,7 +9,9 @@ spread of the sites' means (method of moments). Two targets are judged alike: qu
 toxicity; a document is kept if it is probably good and probably not toxic.
 
 The classifier is fitted on a bounded sample of labelled documents (``sample_rows``,
-chosen by a hash of the id). All else, evidence, sites and global shares, covers all documents.
+chosen by a hash of the id), and knows a bounded number of telling words (``telling`` places
+for each target; a word shares its place with its own stems). All else, evidence, sites and
+global shares, covers all documents.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from leafmill.llm.common import Batches, as_bytes, shared_table
 
 #: Sites up to this many rows are joined by broadcast, more by a shuffled join.
 SMALL_SITES = 100_000
-#: Words of the classifier for each target, and labelled documents that a word must be in.
-TELLING, LEAST_DOCS = 160, 8
+#: Defaults: places for words of the classifier for each target, labelled documents that a
+#: word must be in, and bytes of the longest words that are looked at.
+TELLING, LEAST_DOCS, WORD_BYTES = 160, 8, 40
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _CAPITALS = bytes(range(65, 91))
@@ -48,12 +51,32 @@ def words_of(text: bytes) -> list[bytes]:
 _STEMS = range(4, 9)
 
 
-def units_of(words: list[bytes]) -> set[bytes]:
+def units_of(words: list[bytes], word_bytes: int = WORD_BYTES) -> set[bytes]:
     """Whole words, and beginnings of longer ones, marked by a star."""
-    distinct = {w for w in words if len(w) <= 40}
+    distinct = {w for w in words if len(w) <= word_bytes}
     return distinct | {w[:k] + b"*" for w in distinct for k in _STEMS if len(w) > k}
 
 
+def in_places(units: list[bytes], places: int) -> list[bytes]:
+    """The first units, until one would need a place too many; a word and its own stems share one."""
+
+    def stem_of(a: bytes, b: bytes) -> bool:
+        return a.endswith(b"*") and len(b) >= len(a) and b.startswith(a[:-1])
+
+    out: list[bytes] = []
+    longest: list[bytes] = []  # of each place; the place's other units are stems of it
+    for unit in units:
+        at = next((i for i, known in enumerate(longest) if stem_of(unit, known) or stem_of(known, unit)), len(longest))
+        if at == places:
+            break
+        if at == len(longest):
+            longest.append(unit)
+        elif stem_of(longest[at], unit):
+            longest[at] = unit
+        out.append(unit)
+    return out
+
+
 def shape(text: bytes, words: list[bytes]) -> list[float]:
     """Numbers, each between 0 and about 1, that describe how a text looks."""
     size = len(text) or 1
@@ -80,7 +103,8 @@ N_SHAPE = 15
 class Model:
     """Logistic regressions over shape and telling words, one for each target."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], word_bytes: int = WORD_BYTES):
+        self.word_bytes = word_bytes
         self.place = {w: N_SHAPE + i for i, w in enumerate(words)}
         #: First bytes of the units; a word that begins otherwise has none.
         self.gate = {w.rstrip(b"*")[:4] for w in words}
@@ -94,7 +118,7 @@ class Model:
         out = np.zeros(self.size)
         out[:N_SHAPE] = shape(text, words)
         if near := [w for w in set(words) if w[:4] in self.gate]:
-            for unit in units_of(near) & self.place.keys():
+            for unit in units_of(near, self.word_bytes) & self.place.keys():
                 out[self.place[unit]] = 1
         return out
 
@@ -128,14 +152,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return texts.join(F.broadcast(chosen), "id")  # `rows` narrow rows at most
 
 
-def _telling(sample: DataFrame) -> list[bytes]:
+def _telling(sample: DataFrame, telling: int = TELLING, least_docs: int = LEAST_DOCS, word_bytes: int = WORD_BYTES) -> list[bytes]:
     """Words whose share of documents differs most between the classes, for each target."""
 
     def count(batches: Batches):
         seen = [Counter(), Counter(), Counter()]  # of the sample's rows in this task
         for rows in batches:
             for text, *targets in zip(as_bytes(rows.column("text")), *(rows.column(t).to_pylist() for t in _TARGETS), strict=True):
-                units = units_of(words_of(text))
+                units = units_of(words_of(text), word_bytes)
                 for counter, counts in zip(seen, (1, *targets), strict=True):
                     if counts:
                         counter.update(units)
@@ -158,15 +182,29 @@ def _telling(sample: DataFrame) -> list[bytes]:
         a, b = (F.col(t) + 0.5) / yes, (F.col("n") - F.col(t) + 0.5) / no
         # The difference of log shares, in its standard errors.
         z = F.abs(F.log(a / b)) / F.sqrt(1 / (F.col(t) + 0.5) + 1 / (F.col("n") - F.col(t) + 0.5))
-        rows = words.filter(F.col("n") >= LEAST_DOCS).orderBy(z.desc(), "word").limit(TELLING).collect()
-        chosen += [bytes(r.word) for r in rows]
+        most = telling * (len(_STEMS) + 1)  # as many units as fit if each place is full
+        rows = words.filter(F.col("n") >= least_docs).orderBy(z.desc(), "word").limit(most).collect()
+        chosen += in_places([bytes(r.word) for r in rows], telling)
     return list(dict.fromkeys(chosen))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000) -> Model:
-    """The classifier, fitted on at most ``sample_rows`` labelled documents."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_rows: int = 12_000,
+    telling: int = TELLING,
+    least_docs: int = LEAST_DOCS,
+    word_bytes: int = WORD_BYTES,
+) -> Model:
+    """The classifier, fitted on at most ``sample_rows`` labelled documents.
+
+    Words are evidence if they are among the most telling of a target (``telling`` places, of
+    a word and its stems each), in ``least_docs`` labelled documents and not above ``word_bytes``.
+    """
     sample = shared_table(_labelled(docs, labels, id_col, text_col, sample_rows).repartition(8), "labelled")
-    model = Model(_telling(sample))
+    model = Model(_telling(sample, telling, least_docs, word_bytes), word_bytes)
 
     def features(batches: Batches):
         for rows in batches:
@@ -175,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [pa.array(x, pa.binary()), rows.column("quality"), rows.column("toxic")], names=["x", "quality", "toxic"]
             )
 
-    rows = sample.mapInArrow(features, "x binary, quality int, toxic int").collect()  # sample_rows, a kilobyte each
+    rows = sample.mapInArrow(features, "x binary, quality int, toxic int").collect()  # sample_rows, a few kilobytes each
     if rows:
         rows.sort(key=lambda r: (bytes(r.x), r.quality, r.toxic))
         x = np.frombuffer(b"".join(r.x for r in rows), "<f4").reshape(len(rows), -1).astype(float)
@@ -186,7 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(batches: Batches, model):
     for rows in batches:
         texts = as_bytes(rows.column("text"))
-        z = model.value.score(np.array([model.value.row(t) for t in texts]).reshape(len(texts), -1))
+        z = np.zeros((len(texts), len(_TARGETS)))
+        for low in range(0, len(texts), 1024):  # a few megabytes of evidence at a time
+            z[low : low + 1024] = model.value.score(np.array([model.value.row(t) for t in texts[low : low + 1024]]))
         yield pa.RecordBatch.from_arrays(
             [rows.column("row"), rows.column("host"), rows.column("path"), pa.array(z[:, 0]), pa.array(z[:, 1])],
             names=["row", "host", "path", "z_quality", "z_toxic"],
@@ -249,17 +289,22 @@ def judge(
     host_col: str = "source",
     path_col: str = "lang",
     sample_rows: int = 12_000,
+    telling: int = TELLING,
+    least_docs: int = LEAST_DOCS,
+    word_bytes: int = WORD_BYTES,
 ) -> DataFrame:
     """Every document's verdict: ``row`` (struct of ``carry``), p_quality, p_toxic, kept.
 
-    Host and path are any columns that name a site and a part of it; null is a site of its
-    own. Null and empty texts have the evidence of a text without words. Repeated rows are
+    Host and path are any columns that name a site and a part of it (``documents`` has no
+    URLs, so by default its source and lang stand in for them); null is a site of its
+    own. ``sample_rows``, ``telling``, ``least_docs`` and ``word_bytes`` bound what the
+    classifier learns from, as ``fit`` says. Null and empty texts have the evidence of a text without words. Repeated rows are
     judged alike, and count each. Labels may be missing (then every document has even
     evidence and is kept), repeated (the larger value counts) or null (left out). An empty
     table gives no rows; carried columns may have any names.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample_rows))
+    model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample_rows, telling, least_docs, word_bytes))
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(text_col).cast("string").alias("text"),
         F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"),

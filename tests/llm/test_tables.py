@@ -77,6 +77,27 @@ def test_quality_on_held_out_documents(spark, sf):
     assert right.agg(F.avg("ok")).first()[0] >= 0.9
 
 
+def test_toxic_recall_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality.judge(docs, labels.filter("doc_id % 4 <> 0")).select("row.doc_id", "p_toxic")
+    held = judged.join(labels.filter("doc_id % 4 = 0"), "doc_id").groupBy("toxic").agg(F.avg((F.col("p_toxic") >= 0.5).cast("int")).alias("found"))
+    found = {r.toxic: r.found for r in held.collect()}
+    assert found[1] >= 0.85 and found[0] <= 0.02
+
+
+def test_a_word_and_its_stems_take_one_place(spark):
+    units = [b"abominable", b"abom*", b"abominab*", b"abomi*", b"vile", b"wick*", b"wicked", b"wicker"]
+    assert quality.in_places(units, 2) == units[:5]
+    assert quality.in_places(units, 3) == units[:7]  # two words with one stem: the second needs a place of its own
+    texts = [("abominable thing", 1, 1), ("abominable vile " + "z" * 50, 1, 1), ("thing", 1, 0)] * 10
+    sample = spark.createDataFrame(texts, "text string, quality int, toxic int")
+    known = quality._telling(sample, telling=2, least_docs=10)
+    assert {b"abominable", b"abom*", b"vile"} <= set(known) and not any(len(w) > 40 for w in known)
+    assert b"vile" not in quality._telling(sample, telling=9, least_docs=11)
+    assert b"z" * 50 in quality._telling(sample, telling=9, word_bytes=50)
+
+
 def test_quality_edges(spark, docs, rows, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, none).filter("kept").count() == len(rows)
