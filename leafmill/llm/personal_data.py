@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p) < 400 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() <= 40 and 13 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):

@@ -70,6 +70,13 @@ def test_base_spans_of_odd_texts(text):
     assert got == sorted(spans_of(text))
 
 
+@pytest.mark.parametrize("text", ["0" * 500 + "10.1.2.3", "1.2." + "0" * 6000 + ".255", "1.2.3." + "0" * 500 + "256", "9" * 6000 + ".1.2.3", "000.0.00.0"])
+def test_zeros_before_an_ip_part_have_no_limit(text):
+    least = re.sub("0+([0-9])", r"\1", text)  # int() of the other side refuses very long digits
+    got = [(personal_data.KINDS[k], a, b) for k, a, b in personal_data.base_spans(text) if k == 1]
+    assert got == ([("ip", 0, len(text))] if least in ("10.1.2.3", "1.2.0.255", "0.0.0.0") else [])
+
+
 def test_reliable_labelers_decide():
     good, bad = personal_data.code_of(3, False, (0, 1, 1, 1)), personal_data.code_of(2, False, (-1, -1, -1, -1))
     base = personal_data.code_of(3, True, (1, 1, 1, 1))
