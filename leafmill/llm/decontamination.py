@@ -146,6 +146,7 @@ def mark(
     )
     kind = marked.schema["row"].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).dropna(subset=["text"])
+    items = items.distinct()  # before blocks are cut: a repeated row would come to one block as often as it is there
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for b in range(blocks):

@@ -161,6 +161,16 @@ def test_benchmark_items_without_an_id_mark_words(spark, tmp_path, monkeypatch,
     }
 
 
+def test_repeated_items_are_collected_once(spark, docs, monkeypatch):
+    taken, made = [], decontamination.Block.__init__
+    monkeypatch.setattr(decontamination.Block, "__init__", lambda self, items, *more: taken.append(len(items)) or made(self, items, *more))
+    items = [(1, "one two")] * 300 + [(None, "one")] * 300 + [(k, f"only {k}") for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = decontamination.mark(docs, bench, block_bytes=500).filter("row.doc_id = 44").first()
+    assert taken == [22]
+    assert (got.found["items"], got.found.unnamed, [tuple(x) for x in got.found.runs]) == ([1], True, [(0, 2)])
+
+
 def linked(rows, width):
     sets = []
     for _, t in rows:
