@@ -374,7 +374,7 @@ def _quality_of_responses(spark, sf):
 def refinement_requests(spark, sf):
     """No SQL for this one: its text is JSON as Python indents it."""
     quality, records = _quality_of_responses(spark, sf)
-    pages = views.part_pages(spark, sf).select("page_id", F.col("url").alias("text"))
+    pages = views.part_texts(spark, sf)
     return requests.refinement_requests(quality, records, pages, fv.SCHEMAS["PRODUCTS"])
 
 

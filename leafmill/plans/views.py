@@ -180,6 +180,17 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts for those pages: ``documents`` dealt out by id; the URL where there is no text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.col("text"))
+    return (
+        part_pages(spark, sf_dir)
+        .withColumn("_doc", F.col("page_id") % max(1, docs.count()))
+        .join(docs, "_doc", "left")
+        .select("page_id", F.coalesce("text", "url").alias("text"))
+    )
+
+
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt candidates and their measured quality, from ``orders``."""
     cents = F.floor("o_totalprice")

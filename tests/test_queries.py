@@ -1,5 +1,6 @@
 """All registered queries against their SQL on the smallest tables."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -47,6 +48,22 @@ def test_query_agrees_with_sql(spark, sf, con, name):
     assert got == counted(columns, cur.fetchall())
 
 
+def test_refinement_requests_sample_page_texts(spark, sf, con):
+    rows = QUERIES["refinement_requests"](spark, sf).collect()
+    md5 = {
+        r["page_id"]: hashlib.md5(
+            r["user_content"].rpartition("\n\nPage sample:\n")[2].removesuffix("\n\nReturn only the improved extraction instructions.").encode()
+        ).hexdigest()
+        for r in rows
+    }
+    ids = ",".join(map(str, md5))
+    want = con.execute(f"""
+        SELECT p_partkey, md5(substr(text, 1, 3000)), length(text)
+        FROM part JOIN documents ON doc_id = p_partkey % (SELECT count(*) FROM documents) WHERE p_partkey IN ({ids})""").fetchall()
+    assert len(md5) == len(rows) == len(want) and md5 == {i: m for i, m, _ in want}
+    assert sum(n > 3000 for *_, n in want) > 0
+
+
 def test_refinement_requests(spark, sf):
     rows = QUERIES["refinement_requests"](spark, sf).collect()
     assert rows and all(r["user_content"].startswith("Analyze this extraction") for r in rows)
