@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontamination, near_duplicates, packing, personal_data, quality, repeats, secret_scan, sharding, topk, url_filters
+from leafmill.llm import bpe, decontamination, near_duplicates, packing, personal_data, quality, repeats, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -98,9 +98,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    spelled = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters,
+        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters, op13_bpe_roundtrip,
     )
 }
