@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from leafmill.llm.common import Batches, as_bytes, slices
-from leafmill.llm.fragments import byte_alphabet, fragments, pair_table, portions, spread
+from leafmill.llm.common import Batches, as_bytes
+from leafmill.llm.fragments import byte_alphabet, dealt, fragments, pair_table, portions, spread
 
 _L, _N, _P, _S, _X = range(5)
 #: Fragments of more bytes don't stay in the memo; texts are worked off in portions of this size.
@@ -163,7 +163,7 @@ def codec(vocabulary: str) -> Codec:
 
 def _encode(batches: Batches, vocabulary: str, kind: pa.DataType, portion: int):
     coder = codec(vocabulary)
-    for rows in slices(batches, "text", portion):
+    for rows in dealt(batches, "text", portion):
         texts = as_bytes(rows.column("text"))
         if len(texts) > 1 or len(texts[0]) <= portion:
             ids, begins, decoded = coder(texts)

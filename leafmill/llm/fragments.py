@@ -12,6 +12,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from leafmill.llm.common import Batches, slices
 
 Cuts = Callable[[np.ndarray], np.ndarray]
 
@@ -33,6 +36,17 @@ def pair_table(tokens: Iterable[bytes]) -> np.ndarray:
     return table
 
 
+def dealt(batches: Batches, column: str, most: int) -> Batches:
+    """Slices of about ``most`` bytes of text, in which a longer text stands alone."""
+    for rows in slices(batches, column, most):
+        sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy()
+        edges = {0, rows.num_rows}
+        for i in np.flatnonzero(sizes > most).tolist():
+            edges |= {i, i + 1}
+        cut = sorted(edges)
+        yield from (rows.slice(low, high - low) for low, high in zip(cut, cut[1:]))
+
+
 def portions(text: bytes, cuts: Cuts, most: int) -> Iterator[bytes]:
     """``text`` in portions of about ``most`` bytes that end at certain cuts.
 

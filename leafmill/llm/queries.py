@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontamination, near_duplicates, packing, personal_data, quality, repeats, secret_scan, sharding, topk, url_filters
+from leafmill.llm import alignment, bpe, decontamination, near_duplicates, packing, personal_data, quality, repeats, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -98,6 +98,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), pieces)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    kept = alignment.store(aligned.select(*[c for c in aligned.columns if c != "groups"], digest))
+    return alignment.score(kept, alignment.piece_count(pieces)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +123,6 @@ def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters, op13_bpe_roundtrip,
+        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters, op11_token_alignment, op13_bpe_roundtrip,
     )
 }
