@@ -58,5 +58,32 @@ WITH d AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list(m ORDER BY turn NULLS FIRST, r, substr(x, 1, 32), m) AS ms, list(length(x) ORDER BY turn NULLS FIRST, r, substr(x, 1, 32), m) AS ls,
+         list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+           lambda a, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda v, k: xor(v >> 1, (v & 1) * 3988292384), xor(a, b)), 4294967295::BIGINT) AS crc
+  FROM t GROUP BY c
+), h AS (SELECT *, xor(crc, 4294967295::BIGINT) % 6 AS h FROM own
+), built AS (
+  SELECT h.c, list_concat(coalesce(b.ms, []), [])[1:h.h] || h.ms[h.h + 1:] AS ms, list_concat(coalesce(b.ls, []), [])[1:h.h] || h.ls[h.h + 1:] AS ls
+  FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100
+), p AS (SELECT c, ms, ls, unnest(range(0, len(ms) + 1)) AS d FROM built
+), n AS (
+  SELECT d, array_to_string(ms[1:d], ' ') AS k, array_to_string(ms[1:d - 1], ' ') AS up, min(c) AS c, count(*) AS n, coalesce(max(ls[d]), 0) AS chars,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ms) = d), '') AS ends
+  FROM p GROUP BY ALL
+), s AS (SELECT n.*, (SELECT count(*) FROM n q WHERE q.d = n.d + 1 AND q.up = n.k) AS kids FROM n
+), u AS (
+  SELECT a.d, a.k, count(*) FILTER (b.kids = 0) AS leaves, sum((b.n - 1) * b.chars) AS saved
+  FROM s a JOIN s b ON b.d >= a.d AND (a.d = 0 OR a.k = b.k OR starts_with(b.k, a.k || ' ')) GROUP BY ALL
+)
+SELECT s.c::BIGINT AS conv_id, s.d::BIGINT AS depth, q.c::BIGINT AS parent_conv_id, s.n::BIGINT AS n_convs, s.kids::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM s JOIN u ON u.d = s.d AND u.k = s.k LEFT JOIN s q ON s.d > 0 AND q.d = s.d - 1 AND q.k = s.up
 """,
 }

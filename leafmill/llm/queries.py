@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import alignment, bpe, decontamination, near_duplicates, packing, personal_data, quality, repeats, secret_scan, sharding, topk, url_filters
+from leafmill.llm import alignment, bpe, decontamination, near_duplicates, packing, personal_data, prefix_trie, quality, repeats, secret_scan, sharding, topk, url_filters
 
 WINDOW_TOKENS = 1024
 SHARDS = 40
@@ -110,6 +110,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    prefixes = prefix_trie.prefixes(
+        table(spark, sf_dir, "conversations"), base=conv - conv % 100, taken=F.crc32(conv.cast("string").cast("binary")) % 6
+    )
+    return prefix_trie.trie(prefixes)
+
+
 def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -123,6 +131,6 @@ def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters, op11_token_alignment, op13_bpe_roundtrip,
+        op1_topk_search, op2_quality, op3_repeats, op4_personal_data, op5_decontamination, op6_near_duplicates, op7_packing, op8_sharding, op9_secret_scan, op10_url_filters, op11_token_alignment, op12_prefix_trie, op13_bpe_roundtrip,
     )
 }
