@@ -74,7 +74,7 @@ WITH t AS (
   FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100
 ), p AS (SELECT c, ms, ls, unnest(range(0, len(ms) + 1)) AS d FROM built
 ), n AS (
-  SELECT d, array_to_string(ms[1:d], ' ') AS k, array_to_string(ms[1:d - 1], ' ') AS up, min(c) AS c, count(*) AS n, coalesce(max(ls[d]), 0) AS chars,
+  SELECT d, array_to_string(ms[1:d], ' ') AS k, CASE WHEN d > 1 THEN array_to_string(ms[1:d - 1], ' ') ELSE '' END AS up, min(c) AS c, count(*) AS n, coalesce(max(ls[d]), 0) AS chars,
          coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ms) = d), '') AS ends
   FROM p GROUP BY ALL
 ), s AS (SELECT n.*, (SELECT count(*) FROM n q WHERE q.d = n.d + 1 AND q.up = n.k) AS kids FROM n
