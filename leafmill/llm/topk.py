@@ -3,11 +3,12 @@
 Every component has a sorted list of a block's values. Lists are read in step from the
 end that the query's sign asks for. A vector's score then has a lower bound (what was read,
 and the list's worst value for the rest) and an upper bound (what was read, and the value
-read last). Reading stops when few vectors outside the best k can still qualify; their
-scores are resolved exactly.
+read last). A query is done reading when at most ``OPEN`` times k vectors can still qualify,
+and the others read on; the scores of those vectors are resolved exactly, as whole numbers.
 
 Blocks of candidates stay where they are read. The query set is taken in blocks of bounded
-size, each broadcast; a task keeps k rows for each query, and the tasks' rows are merged.
+size, one after the other: a block is broadcast, every task keeps k rows for each of its queries,
+the tasks' rows are merged and written, and the broadcast is dropped.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Batches, batch, shared_table
+from leafmill.session import new_dir
+
+#: Vectors that may stay open for each wanted one; queries whose bounds are held at once.
+OPEN, TOGETHER = 16, 256
 
 _WHOLE = {"row": pa.int64(), "id": pa.int64(), "dim": pa.int32(), "x": pa.binary()}
 _HITS = {"query_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 
 
-def _integers(batches: Batches, scale: float):
-    """Vectors as whole numbers; those with a null or non-finite component take no part."""
+def _finite(batches: Batches):
+    """Vectors as doubles; those with a null or non-finite component take no part."""
     part, n = TaskContext.get().partitionId() << 33, 0
     for rows in batches:
         out: dict[str, list] = {name: [] for name in _WHOLE}
@@ -39,7 +44,7 @@ def _integers(batches: Batches, scale: float):
         for i, size in enumerate(sizes.tolist()):
             if size != size:  # a null vector
                 continue
-            x = np.floor(scale * values[at : at + int(size)])
+            x = values[at : at + int(size)]
             at += int(size)
             if ids[i] is not None and np.isfinite(x).all():
                 for name, value in zip(_WHOLE, (part + n + i, ids[i], int(size), x.tobytes()), strict=True):
@@ -59,49 +64,88 @@ def survivors(block: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np
     values = np.take_along_axis(block, order, 0)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
-    mine = own >= 0
-    depth = max(1, n // 4)
-    while True:
+    reading, found = np.arange(len(queries)), []
+    depth = max(1, n // 8)
+    while len(reading):
+        up, down = np.maximum(queries[reading], 0).T, np.minimum(queries[reading], 0).T
         high, low = rank >= n - depth, rank < depth  # what was read from either end
         upper = np.where(high, block, values[n - depth]) @ up + np.where(low, block, values[depth - 1]) @ down
         lower = np.where(high, block, values[0]) @ up + np.where(low, block, values[-1]) @ down
-        upper[own[mine], np.flatnonzero(mine)] = lower[own[mine], np.flatnonzero(mine)] = -np.inf
-        reached = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(queries), -np.inf)
-        open_ = upper >= np.maximum(reached, known)
-        open_[own[mine], np.flatnonzero(mine)] = False
-        if depth == n or open_.sum() <= 16 * k * len(queries):
-            vector, query = np.nonzero(open_)
-            return query, vector
-        depth = min(n, depth * 2)
-
-
-def best(block: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, known: np.ndarray, k: int):
+        open_ = qualify(lower, upper, own[reading], known[reading], k)
+        done = (open_.sum(0) <= OPEN * k) | (depth == n)
+        vector, query = np.nonzero(open_[:, done])
+        found.append((reading[done][query], vector))
+        reading, depth = reading[~done], min(n, depth * 2)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def qualify(lower: np.ndarray, upper: np.ndarray, own: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
+    """Which vectors (rows) no k others surely beat, for each query (column), itself left out."""
+    n, mine = len(lower), np.flatnonzero(own >= 0)
+    lower[own[mine], mine] = -np.inf
+    reached = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(lower.shape[1], -np.inf)
+    open_ = upper >= np.maximum(reached, known)
+    open_[own[mine], mine] = False
+    return open_
+
+
+def near_survivors(block: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for numbers whose products doubles don't hold: bounds are the rounded scores with
+    all that rounding may have changed; beyond the range of doubles, nothing is known."""
+    with np.errstate(all="ignore"):
+        about = block @ queries.T
+        slack = (np.abs(block) @ np.abs(queries).T) * (block.shape[1] + 4) * 2.0**-51
+        lower, upper = (np.clip(x, -(2.0**63), 2.0**63) for x in (about - slack, about + slack))  # as the scores are
+    lost = ~(np.isfinite(about) & np.isfinite(slack))
+    lower[lost], upper[lost] = -np.inf, np.inf
+    vector, query = np.nonzero(qualify(lower, upper, own, known, k))
+    return query, vector
+
+
+def whole(x: float, scale: float) -> int:
+    """``floor(scale * x)``, also where the product is beyond the range of doubles."""
+    product = scale * x
+    return int(np.floor(product)) if np.isfinite(product) else int(x) * int(scale)
+
+
+def best(block: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, known: np.ndarray, k: int, scale: float):
     """The best k of a block for each query: arrays query, id, score."""
     place = {r: i for i, r in enumerate(rows.tolist())}
     own = np.array([place.get(r, -1) for r in query_rows.tolist()], np.int64)
-    exact = float(np.abs(block).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, block.shape[1]) < 2.0**52
-    if exact and block.shape[1]:
-        query, vector = survivors(block, queries, own, known, k)
-    else:  # bounds in floating point would not be exact: every pair is resolved
-        query, vector = (a.ravel() for a in np.indices((len(queries), len(block))))
-        query, vector = (a[own[query] != vector] for a in (query, vector)) if len(query) else (query, vector)
-    scores = np.empty(len(query), np.int64)
-    for a in range(0, len(query), 1 << 16):
-        q, v = queries[query[a : a + (1 << 16)]], block[vector[a : a + (1 << 16)]]
-        if exact:
-            scores[a : a + (1 << 16)] = (q.astype(np.int64) * v.astype(np.int64)).sum(1)
+    found = []
+    with np.errstate(over="ignore"):
+        large_block, large_queries = np.floor(scale * block), np.floor(scale * queries)
+        most = np.abs(large_block).max(initial=0) * np.abs(large_queries).max(initial=0) * max(1, block.shape[1])
+    exact = most < 2.0**52
+    for low in range(0, len(queries), TOGETHER):
+        part = slice(low, low + TOGETHER)
+        if not block.shape[1]:  # every score is 0
+            query, vector = (a.ravel() for a in np.indices((len(queries[part]), len(block))))
+            query, vector = (a[own[part][query] != vector] for a in (query, vector))
         else:
-            whole = [sum(int(s) * int(t) for s, t in zip(b, c, strict=True)) for b, c in zip(q, v, strict=True)]
-            scores[a : a + (1 << 16)] = [max(-(2**63), min(2**63 - 1, w)) for w in whole]
-    order = np.lexsort((ids[vector], -scores.astype(float) if not exact else -scores, query))
-    query, vector, scores = query[order], vector[order], scores[order]
-    first = np.searchsorted(query, query)
-    top = np.arange(len(query)) - first < k
-    return query[top], ids[vector[top]], scores[top]
-
-
-def _search(batches: Batches, queries, k: int, block_rows: int):
+            near = survivors if exact else near_survivors
+            query, vector = near(large_block, large_queries[part], own[part], known[part], k)
+        scores = np.empty(len(query), np.int64)
+        for a in range(0, len(query), 1 << 16):
+            q, v = query[a : a + (1 << 16)] + low, vector[a : a + (1 << 16)]
+            if exact:
+                scores[a : a + (1 << 16)] = (large_queries[q].astype(np.int64) * large_block[v].astype(np.int64)).sum(1)
+            else:
+                sums = [sum(whole(s, scale) * whole(t, scale) for s, t in zip(b, c, strict=True)) for b, c in zip(queries[q].tolist(), block[v].tolist())]
+                scores[a : a + (1 << 16)] = [max(-(2**63), min(2**63 - 1, x)) for x in sums]
+        found.append(highest(query + low, ids[vector], scores, k))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def highest(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each query, ties to the smaller id (whole numbers throughout)."""
+    order = np.lexsort((ids, ~scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], ids[top], scores[top]
+
+
+def _search(batches: Batches, queries, k: int, block_rows: int, scale: float):
     sets: dict[int, tuple[np.ndarray, ...]] = {}
     rows, ids, dims, data = queries.value
     for dim in set(dims.tolist()):
@@ -119,15 +163,11 @@ def _search(batches: Batches, queries, k: int, block_rows: int):
         if dim in best_of:
             q, i, s = best_of[dim]
             counts = np.bincount(q, minlength=len(x))
-            np.minimum.at(low := np.full(len(x), np.inf), q, s)
+            np.minimum.at(low := np.full(len(x), np.inf), q, s.astype(float))
             known = np.where(counts >= k, low, -np.inf)
-        new = best(vectors, table.column("id").to_numpy(), table.column("row").to_numpy(), x, query_rows, known, k)
+        new = best(vectors, table.column("id").to_numpy(), table.column("row").to_numpy(), x, query_rows, known, k, scale)
         if dim in best_of:
-            new = tuple(np.concatenate(pair) for pair in zip(best_of[dim], new, strict=True))
-            order = np.lexsort((new[1], -new[2], new[0]))
-            new = tuple(a[order] for a in new)
-            top = np.arange(len(new[0])) - np.searchsorted(new[0], new[0]) < k
-            new = tuple(a[top] for a in new)
+            new = highest(*(np.concatenate(pair) for pair in zip(best_of[dim], new, strict=True)), k)
         best_of[dim] = new
 
     held: dict[int, list[pa.RecordBatch]] = {}
@@ -150,8 +190,8 @@ def search(
     scale: float = 256.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    query_rows: int = 4096,
-    block_rows: int = 8192,
+    query_rows: int = 8192,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score.
 
@@ -163,24 +203,27 @@ def search(
     64 bits are cut to their limits. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    whole = shared_table(
+    stored = shared_table(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-        .mapInArrow(partial(_integers, scale=scale), "row long, id long, dim int, x binary"),
+        .mapInArrow(_finite, "row long, id long, dim int, x binary"),
         "vectors",
     )
-    asked = whole.filter(is_query)
+    asked = stored.filter(is_query)
     blocks = max(1, -(-asked.count() // query_rows))
     block = F.pmod(F.xxhash64("row"), F.lit(blocks))
-    found = None
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    found, path = None, new_dir(spark, "best")
     for b in range(blocks):
         rows = asked.filter(block == b).collect()  # about query_rows of them
         queries = spark.sparkContext.broadcast(
             (np.array([r.row for r in rows], np.int64), np.array([r.id for r in rows], np.int64),
              np.array([r.dim for r in rows], np.int64), [bytes(r.x) for r in rows])
         )
-        part = whole.mapInArrow(
-            partial(_search, queries=queries, k=k, block_rows=block_rows), "query_row long, query_id long, vec_id long, score long"
+        part = stored.mapInArrow(
+            partial(_search, queries=queries, k=k, block_rows=block_rows, scale=scale), "query_row long, query_id long, vec_id long, score long"
         )
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        found = part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        if blocks > 1:  # one block in memory at a time
+            found.write.mode("append").parquet(path)
+            queries.unpersist()
+    return found if blocks == 1 else spark.read.schema(found.schema).parquet(path)

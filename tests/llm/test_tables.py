@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,14 +11,17 @@ from leafmill.llm import prefix_trie, quality, topk, url_filters
 from leafmill.llm.queries import QUERIES
 
 
-@pytest.mark.parametrize(("query_rows", "block_rows"), [(4096, 8192), (3, 16)])
+@pytest.mark.parametrize(("query_rows", "block_rows"), [(4096, 8192), (3, 16)])  # with 3, in several jobs
 def test_topk(spark, query_rows, block_rows):
     r = random.Random(5)
     data = [(i, [r.uniform(-2, 2) for _ in range(8)]) for i in range(200)]
     data += [(200, None), (201, [1.0, None] * 4), (202, [math.nan] * 8), (203, [math.inf] * 8), (None, [1.0] * 8), (7, data[7][1]),
              (250, data[50][1]), (300, [1.0, 2.0]), (301, [3.0, 1.0]), (350, []), (351, []), (400, [1e30] * 8), (401, [0.0] * 8)]
+    # Scores that doubles can't tell apart, and products beyond their range.
+    data += [(450, [2.0**22, 1 / 256, 0.0]), (451, [2.0**22, 0.0, 0.0]), (452, [2.0**22, 1 / 256, 0.0]), (453, [2.0**22, 2 / 256, 0.0]), (454, [0.0, 0.0, 1.0])]
+    data += [(500, [1e307, -1e307, 2.0, 3.0]), (501, [1e307, 1e307, 1.0, 1.0]), (502, [0.0, 0.0, 1.0, 0.5]), (550, [1.0, 1.0, 0.5, 0.25]), (503, [-1e308, 0.0, 0.0, 0.0])]
     table = spark.createDataFrame([(i, x, 1.0, 2) for i, x in data], "vec_id long, embedding array<double>, x double, dim int").repartition(4)
-    whole = [(i, [math.floor(256 * c) for c in x]) for i, x in data if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    whole = [(i, [math.floor(256 * Fraction(c)) for c in x]) for i, x in data if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     want = []
     for a, (q, x) in enumerate(whole):
         if q % 50 == 0:
