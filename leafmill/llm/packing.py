@@ -12,6 +12,8 @@ shuffled, a lost task is repeated alone, and a table of any size costs one scan.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from bisect import bisect_right
 from functools import cache, partial
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Batches, batch
+from leafmill.llm.fragments import byte_alphabet
 
 #: Classes of bytes for splitting: letters, digits, others, white space, ends of texts.
 _L, _N, _O, _W, _Z = range(5)
@@ -71,18 +74,24 @@ def split_points(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole batches of texts: every distinct pre-token is merged once.
 
-    ``ranks`` is a byte-level vocabulary in rank form. Results equal the library's
-    ``encode_batch`` on the same vocabulary (tested); the memo of pre-tokens is bounded.
+    ``vocabulary`` is a tokenizer file with a byte-level alphabet whose ids are in the order of its
+    merges, ``pattern`` the one that it splits by. Results equal the library's ``encode_batch`` on
+    the file (tested), where an added token written in a text is that token; the memo of pre-tokens
+    is bounded.
     """
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 300_000):
-        import base64
-
+    def __init__(self, vocabulary: str, pattern: str, memo: int = 300_000):
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = byte_alphabet()
+        self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        names = {t: i for t, i in spec["model"]["vocab"].items() if t.encode() not in self.added}
+        ranks = {bytes(map(byte_of.get, t)): i for t, i in names.items()}
+        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        either = b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.splitter = re.compile(b"(" + either + b")" if either else b"(?!)")
         self.memo: dict[bytes, bytes] = {}
         self.most = memo
 
@@ -91,18 +100,22 @@ class Encoder:
         out = list(map(self.memo.get, words))
         if len(self.memo) > self.most:
             self.memo.clear()
-        merge = self.library._core_bpe.encode_single_piece
+        merge = self.library.encode_ordinary  # a pre-token alone is one pre-token again
         for i, found in enumerate(out):
             if found is None:
                 word = words[i]
-                out[i] = self.memo[word] = b"" if word == b"\0" else array("I", merge(word)).tobytes()
+                out[i] = self.memo[word] = b"" if word == b"\0" else array("I", merge(word.decode("utf-8", "replace"))).tobytes()
         return out
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         simple = []
         for i, text in enumerate(texts):
-            if _rare(text):
+            if self.splitter.search(text):
+                parts = [p for p in self.splitter.split(text) if p]
+                ids = iter(self([p for p in parts if p not in self.added]))
+                out[i] = np.concatenate([np.array([self.added[p]], np.uint32) if p in self.added else next(ids) for p in parts])
+            elif _rare(text):
                 out[i] = np.array(self.library.encode_ordinary(text.decode("utf-8")), np.uint32)
             else:
                 simple.append(i)
@@ -131,9 +144,9 @@ class Encoder:
 
 
 @cache
-def encoder(ranks: str, pattern: str) -> Encoder:
+def encoder(vocabulary: str, pattern: str) -> Encoder:
     """One for each worker process, so that tasks share the memo."""
-    return Encoder(ranks, pattern)
+    return Encoder(vocabulary, pattern)
 
 
 def combinations(lengths: np.ndarray, window: int, depth: int) -> np.ndarray:
@@ -255,8 +268,8 @@ def pack_lengths(lengths: np.ndarray, window: int, depth: int) -> tuple[np.ndarr
     return tuple(np.concatenate([a, b]).astype(np.int64) for a, b in zip(whole, tails, strict=True))
 
 
-def _pack(batches: Batches, kind: pa.DataType, ranks: str, pattern: str, stop: int, window: int, depth: int, chunk: int):
-    encode = encoder(ranks, pattern)
+def _pack(batches: Batches, kind: pa.DataType, vocabulary: str, pattern: str, stop: int, window: int, depth: int, chunk: int):
+    encode = encoder(vocabulary, pattern)
     types = {"key": kind, "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(),
              "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
     ending = np.array([stop], np.uint32)
@@ -301,7 +314,7 @@ def _pack(batches: Batches, kind: pa.DataType, ranks: str, pattern: str, stop: i
 
 def pack(
     docs: DataFrame,
-    ranks: str,
+    vocabulary: str,
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -323,7 +336,7 @@ def pack(
     from pyspark.sql.pandas.types import to_arrow_type
 
     run = partial(
-        _pack, kind=to_arrow_type(kind), ranks=ranks, pattern=pattern, stop=stop_id, window=window, depth=depth, chunk=chunk_tokens
+        _pack, kind=to_arrow_type(kind), vocabulary=vocabulary, pattern=pattern, stop=stop_id, window=window, depth=depth, chunk=chunk_tokens
     )
     schema = f"key {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", id_col)

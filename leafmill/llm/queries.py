@@ -56,7 +56,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("found.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    items = F.array_join(F.array_sort(F.transform("found.items", lambda i: i.cast("string"))), ",")
+    items = F.array_join(F.array_sort("found.items"), ",")
     return marked.select(
         "row.doc_id", "found.n_words", hit.alias("n_hit"), (F.size("found.items") + F.col("found.unnamed").cast("int")).cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
@@ -73,7 +73,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = packing.pack(
         table(spark, sf_dir, "documents"),
-        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.PATTERN,
         window=WINDOW_TOKENS,
     )

@@ -27,6 +27,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     out += [(50, "mail a.b@c.d_e@f.org or x@y, call +1 (206) 555-0142 at 10.0.0.300 and 192.168.1.20.7.8.9.1")]
     out += [(51, "card 4111 1111 1111 1111 4111-1111-1111-1112 ip 1.2.3.4 +12 me (at) here.com (206) 555-0199")]
     out += [(52, "Password: hunter22, api_key='ABCDEFGH' TOKEN==abcdefgh secret = short AKIAABCDEFGHIJKL"), (53, "deadbeef" * 5 + "é password=" + "0123456789abcdef" * 3)]
+    out += [(54, "a<|endoftext|>b"), (55, "<|endoftext|><|endoftext|>"), (56, "the mill <|endoftext|>\n<|EndOfText|> é日<|endoftext|>")]
     return out
 
 

@@ -131,7 +131,7 @@ def test_decontamination(spark, docs, rows, block_bytes):
                 if found := wins.get(tuple(w[s : s + size])):
                     ids |= found
                     hit.update(range(s, s + size))
-        want.append((i, len(w), len(hit), sorted(ids)))
+        want.append((i, len(w), len(hit), sorted(map(str, ids))))
     got = decontamination.mark(docs, bench, carry=docs.columns, block_bytes=block_bytes).collect()
     assert sorted(map(repr, want)) == sorted(
         repr((r.row.doc_id, r.found.n_words, sum(x.end - x.start for x in r.found.runs), list(r.found["items"]))) for r in got
@@ -139,6 +139,13 @@ def test_decontamination(spark, docs, rows, block_bytes):
     assert sum(h > 0 for _, _, h, _ in want) >= 8
 
 
+def test_items_may_have_text_ids(spark):
+    docs = spark.createDataFrame([(1, "the old mill by the river stands"), (2, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b-17", "old mill"), ("9", "river stands"), ("10", "by the"), (None, "the river")], "item_id string, text string")
+    got = {r.row.doc_id: (list(r.found["items"]), r.found.unnamed) for r in decontamination.mark(docs, bench).collect()}
+    assert got == {1: (["10", "9", "b-17"], True), 2: ([], False)}
+
+
 @pytest.mark.parametrize("block_bytes", [16_000_000, 20])
 def test_benchmark_items_without_an_id_mark_words(spark, tmp_path, monkeypatch, block_bytes):
     import duckdb
@@ -168,7 +175,7 @@ def test_repeated_items_are_collected_once(spark, docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
     got = decontamination.mark(docs, bench, block_bytes=500).filter("row.doc_id = 44").first()
     assert taken == [22]
-    assert (got.found["items"], got.found.unnamed, [tuple(x) for x in got.found.runs]) == ([1], True, [(0, 2)])
+    assert (got.found["items"], got.found.unnamed, [tuple(x) for x in got.found.runs]) == (["1"], True, [(0, 2)])
 
 
 def linked(rows, width):
@@ -212,12 +219,11 @@ def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         want[i, b"".join(x.to_bytes(4, "little") for x in ids)] += 1
-    pieces = packing.pack(docs, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, window=64, chunk_tokens=3000).collect()
+    pieces = packing.pack(docs, vocab.path("byte_bpe_50k.json"), vocab.PATTERN, window=64, chunk_tokens=3000).collect()
     whole, sequences = {}, {}
     for p in pieces:
         assert len(p.ids) == 4 * p.length and 1 <= p.length <= 64 and p.start + p.length <= p.doc_tokens
@@ -244,11 +250,10 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     r = random.Random(3)
     parts = ["a", "B", "é", "ß", "'", "'s", "'re", "'t", " ", "  ", "\n", "\t", " \n", "12", "!", "_", "don't", "''s", "×", "—", "日本", "\x0c", "\xa0", "\0", "<|endoftext|>"]
     some = ["".join(r.choices(parts, k=r.randrange(16))) for _ in range(3000)]
-    encode = packing.Encoder(vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
+    encode = packing.Encoder(vocab.path("byte_bpe_50k.json"), vocab.PATTERN)
     assert [x.tolist() for x in encode([t.encode() for t in some])] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
 
@@ -282,7 +287,7 @@ def test_empty_tables(spark, nothing, docs):
     assert personal_data.redact(personal_data.find(nothing, carry=nothing.columns)).count() == 0
     assert secret_scan.scan(nothing).count() == 0
     assert near_duplicates.near_duplicates(nothing).count() == 0
-    assert packing.pack(nothing, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN).count() == 0
+    assert packing.pack(nothing, vocab.path("byte_bpe_50k.json"), vocab.PATTERN).count() == 0
     assert sharding.shard(nothing).count() == 0
     assert decontamination.mark(nothing, bench).count() == 0
     assert decontamination.mark(docs, bench).filter(F.size("found.runs") > 0).count() == 0
