@@ -79,7 +79,7 @@ def is_thin(text: Column) -> Column:
 def _stop() -> Column:
     """Error type of a page that stops before extraction, else null."""
     return (
-        F.when(F.col("domain") == "", "ValueError")
+        F.when(F.coalesce("domain", F.lit("")) == "", "ValueError")
         .when(F.col("challenge").isNotNull(), "UnsupportedChallengeError")
         .when(is_thin(F.col("text")), "EmptyPageError")
     )
@@ -88,7 +88,8 @@ def _stop() -> Column:
 def page_failures(cleaned: DataFrame) -> DataFrame:
     """Pages that stop before extraction, with the error type the classifier expects.
 
-    A URL without a host is an error of its own; it is found before the page is read.
+    A URL without a host, or no URL at all, is an error of its own; it is found before the
+    page is read.
     """
     return (
         cleaned.withColumn("error_type", _stop())

@@ -6,6 +6,7 @@ is summarised where it lies, and only the summaries of a key meet; a key owns at
 most one summary per partition.
 
 * ``summarise`` - summaries of the stretches, the base of the folds.
+* ``compose_stretches`` - summaries of a key put together in pairs, in log rounds.
 * ``scan_states`` - state of a small machine before every row.
 * ``chunked_row_number`` - exact row numbers.
 * ``last_distinct``, ``fold_lists`` - folds whose state is a short list.
@@ -185,6 +186,50 @@ def segments(parts: list[str]) -> Column:
     return F.array_sort(F.collect_list(F.struct("_chunk", *parts)))
 
 
+def compose_stretches(
+    stretches: DataFrame, keys: list[str], together: dict[str, Callable[[Column, Column], Column]]
+) -> DataFrame:
+    """One row per key: its stretches (from ``summarise``) put together in chunk order.
+
+    ``together`` says for each summary how two neighbours become one. A key that lies in one
+    chunk is done at once. The others, at most one for each border between chunks, are put
+    together in pairs of neighbouring chunks, round by round, so n chunks take log2(n) rounds,
+    and no row or task ever holds more than two summaries of a key. Null keys are keys.
+    """
+    names = list(together)
+    stretches = stage(stretches.select(*keys, "_chunk", *names), "stretches")  # chunks are drawn once
+    many = stretches.groupBy(*keys).agg(F.count("*").alias("_of")).where("_of > 1").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys]
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    done = stretches.join(F.broadcast(many), same, "left_anti").drop("_chunk")
+    open_ = stretches.join(F.broadcast(many), same, "left_semi")
+    while True:
+        two = F.array_sort(F.collect_list(F.struct("_chunk", *names)))
+        pairs = open_.groupBy(*keys, F.floor(F.col("_chunk") / 2).cast("int").alias("_pair")).agg(two.alias("_two"))
+        one, other = F.col("_two")[0], F.get("_two", F.lit(1))
+        open_ = stage(
+            pairs.select(
+                *keys,
+                F.col("_pair").alias("_chunk"),
+                *[F.when(other.isNull(), one[n]).otherwise(join(one[n], other[n])).alias(n) for n, join in together.items()],
+            ),
+            "stretches",
+        )
+        if open_.groupBy(*keys).count().where("count > 1").isEmpty():
+            return done.unionByName(open_.drop("_chunk"))
+
+
+def compose_tables(first: Column, then: Column) -> Column:
+    """Machine tables one after the other; a table whose entries agree becomes that one value."""
+    through = F.when(F.size(then) == 1, then).otherwise(
+        F.transform(first, lambda state: F.element_at(then, state + 1))
+    )
+    return F.when(F.size(F.array_distinct(through)) == 1, F.slice(through, 1, 1)).otherwise(through)
+
+
 def scan_states(
     df: DataFrame,
     keys: list[str],
@@ -302,7 +347,7 @@ def last_distinct(
     if long.isEmpty():
         return whole
 
-    def extend(items: list, item: Any) -> list:
+    def extend(items: list, item: Any) -> list:  # ignores the value it was given last
         return items if item in items else [*items, item][-size:]
 
     walked = fold_lists(
@@ -311,6 +356,33 @@ def last_distinct(
     return whole.unionByName(walked)
 
 
+def value_changes(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows of sorted chunks whose value differs from the one before, in the same key and chunk.
+
+    ``_at`` is a row's place in its chunk. A list of distinct values ignores a value that was just
+    put in, so nothing else ever changes such a list.
+    """
+    schema = StructType([rows.schema[c] for c in (*keys, value, "_chunk")] + StructType.fromDDL("_at bigint").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [_column(batch, c) for c in (*keys, value)]
+            starts = np.array([a for _, a, _ in _runs(batch, [*keys, value])])
+            head = tuple(c[0].as_py() for c in columns)
+            keep = starts[1:] if head == last else starts
+            last = tuple(c[batch.num_rows - 1].as_py() for c in columns)
+            out = batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [*(_column(out, c) for c in (*keys, value, "_chunk")), pa.array(keep + at, pa.int64())], schema.names
+            )
+            at += batch.num_rows
+
+    return rows.select(*keys, value, "_chunk").mapInArrow(run, schema)
+
+
 def fold_lists(
     df: DataFrame,
     keys: list[str],
@@ -318,36 +390,39 @@ def fold_lists(
     value: str,
     extend: Callable[[list, Any], list],
     *,
-    growth: int = 8,
+    rounds: int = 2,
 ) -> DataFrame:
     """Keys with the list (``_list``) that ``extend(list, value)`` builds in row order.
 
-    Every chunk first starts from an empty list. Where a chunk that continues a key turns
-    out to start from another one, it is walked again, together with its neighbours: the
-    stretches walked in one go grow by ``growth`` each round. So the right start reaches
-    the last of n chunks after about log(n) rounds even where no list ever forgets where it
-    began, and rounds end earlier where lists do. A walk streams through sorted rows and
-    holds one list. The driver sees two short lists per partition and round.
+    ``extend`` must ignore a value equal to the last one it was given. So only the changes of
+    each key's values are kept (``value_changes``); all later steps read those. Every chunk is
+    walked from an empty list first. Where a chunk that continues a key should have begun with
+    another list, it is walked again, all such chunks at once, for a few rounds: lists that
+    forget how they began are right by then. Keys that are still stale are walked from their
+    first change on, each key for itself, so that a task streams through the changes of its own
+    keys and holds one list. The driver sees two short lists per partition and round.
     """
-    rows = chunked(df.select(*dict.fromkeys([*keys, *order, value])), keys, order)
+    changes = stage(
+        value_changes(sort_rows(df.select(*dict.fromkeys([*keys, *order, value])), keys, order), keys, value), "changes"
+    )
     sc = df.sparkSession.sparkContext
     schema = StructType(
-        [rows.schema[k] for k in keys]
+        [changes.schema[k] for k in keys]
         + StructType.fromDDL(
             "_chunk int, _continues boolean, _entry array<string>, _list array<string>"
         ).fields
     )
-    names = schema.names
     kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def pass_over(part_of: DataFrame, entries: dict[int, list], width: int) -> DataFrame:
+    def walked(part_of: DataFrame, entries: dict[int, list], by: list[str]) -> DataFrame:
+        """The lists of the stretches that ``by`` names, each begun as ``entries`` says or empty."""
         shared = sc.broadcast(entries)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, head, built, done = None, (), [], []
+            at, chunk, row, built, done = None, None, None, [], []
 
             def flush() -> pa.RecordBatch:
-                out = [dict(zip(names, row)) for row in done]
+                out = [dict(zip(schema.names, r)) for r in done]
                 done.clear()
                 return pa.RecordBatch.from_pylist(out, schema=kinds)
 
@@ -355,31 +430,31 @@ def fold_lists(
                 if batch.num_rows == 0:
                     continue
                 values = _column(batch, value).to_pylist()
-                for (chunk, *key), a, b in _runs(batch, ["_chunk", *keys]):
-                    if at != (chunk, key):
+                chunks = _column(batch, "_chunk").to_numpy()
+                for key, a, b in _runs(batch, by):
+                    if at != key:
                         if at is not None:
-                            done.append((*head, built))
-                        continues = at is None or at[0] != chunk
-                        if at is None or at[0] // width != chunk // width:
-                            built = shared.value.get(chunk, [])
-                        elif at[1] != key:
-                            built = []
-                        at, head = (chunk, key), (*key, chunk, continues, built)
+                            done.append((*row, built))
+                        continues = chunks[a] != chunk
+                        built = shared.value.get(int(chunks[a]), []) if continues else []
+                        names = tuple(_column(batch, k)[a].as_py() for k in keys)
+                        at, chunk, row = key, chunks[a], (*names, int(chunks[a]), bool(continues), built)
                     for v in values[a:b]:
                         built = extend(built, v)
                 if len(done) >= 10_000:
                     yield flush()
             if at is not None:
-                done.append((*head, built))
+                done.append((*row, built))
                 yield flush()
 
-        return part_of.select(*keys, value, "_chunk").mapInArrow(walk, schema)
+        return part_of.mapInArrow(walk, schema)
 
-    result = stage(pass_over(rows, {}, 1), "lists")
-    width = 1
-    while True:
-        # First and last stretch of every chunk; a stretch may be both.
-        edges = (
+    def chunk_by_chunk(part_of: DataFrame, entries: dict[int, list]) -> DataFrame:
+        return walked(part_of.repartition("_chunk").sortWithinPartitions("_chunk", "_at"), entries, ["_chunk", *keys])
+
+    def stale(result: DataFrame) -> tuple[dict[int, list], list[int]]:
+        """The list each chunk should begin with, and the chunks that began with another one."""
+        edges = (  # first and last stretch of every chunk; a stretch may be both
             result.groupBy("_chunk")
             .agg(
                 F.max_by(F.struct(*keys, "_entry"), "_continues").alias("first"),
@@ -389,24 +464,29 @@ def fold_lists(
             .collect()
         )
         found: dict[int, list] = {}
-        stale: list[int] = []
+        wrong: list[int] = []
         for before, here in zip(edges, edges[1:]):
             if all(before["last"][k] == here["first"][k] for k in keys):
                 found[here["_chunk"]] = list(before["last"]["_list"])
                 if here["first"]["_entry"] != before["last"]["_list"]:
-                    stale.append(here["_chunk"])
-        if not stale:
+                    wrong.append(here["_chunk"])
+        return found, wrong
+
+    result = stage(chunk_by_chunk(changes, {}), "lists")
+    found, wrong = stale(result)
+    for _ in range(rounds):
+        if not wrong:
             break
-        width *= growth
-        group = F.floor(F.col("_chunk") / width).cast("int")
-        groups = sorted({c // width for c in stale})
-        again = pass_over(
-            rows.where(group.isin(groups))
-            .repartition(len(groups), group)
-            .sortWithinPartitions("_chunk", *keys, *order),
-            found,
-            width,
-        )
-        good = result.where(~group.isin(groups))
-        result = stage(good.unionByName(again), "lists")
-    return result.groupBy(*keys).agg(F.max_by("_list", "_chunk").alias("_list"))
+        again = chunk_by_chunk(changes.where(F.col("_chunk").isin(wrong)), found)
+        result = stage(result.where(~F.col("_chunk").isin(wrong)).unionByName(again), "lists")
+        found, wrong = stale(result)
+    lists = result.groupBy(*keys).agg(F.max_by("_list", "_chunk").alias("_list"))
+    if not wrong:
+        return lists
+    # At most one key for each border between chunks.
+    open_ = stage(result.where(F.col("_chunk").isin(wrong) & F.col("_continues")).select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct(), "stale")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    whole = changes.join(F.broadcast(open_), same, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "_chunk", "_at")
+    return lists.join(F.broadcast(open_), same, "left_anti").unionByName(walked(whole, {}, keys).select(*keys, "_list"))

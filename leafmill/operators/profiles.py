@@ -14,9 +14,9 @@ from leafmill.functions.numbers import milli
 from leafmill.operators.joins import lookup_join
 from leafmill.operators.ordered import (
     Part,
+    compose_stretches,
+    compose_tables,
     machine,
-    run_machine,
-    segments,
     sort_rows,
     summarise,
 )
@@ -81,6 +81,13 @@ def _absorb_wait(state, symbols: np.ndarray, used: np.ndarray, learn: np.ndarray
     return [shift, low, high]
 
 
+def _then_wait(first: Column, then: Column) -> Column:
+    """Two wait functions one after the other, which are one such function again."""
+    shift, low, high = (then[i] for i in range(3))
+    led = lambda wait: F.least(high, F.greatest(low, wait + shift))
+    return F.array(first[0] + shift, led(first[1]), led(first[2]))
+
+
 def _profile_parts() -> list[Part]:
     scores = lambda q: q[q < _SET]
     return [
@@ -129,12 +136,13 @@ def fold_profiles(
     an older profile table to continue from. A run reads its settings before it starts and is
     folded in afterwards, so a domain's rows never influence each other inside a run.
 
-    Rows without a score from 0 to 1 are not applied; ``rejected_scores`` returns them. The
+    Rows without a score from 0 to 1 are not applied; ``rejected_scores`` returns them. A null
+    domain is a domain like any other, and goes on from its row in ``prior``. The
     wait of a domain that is not in ``prior`` starts from ``default_wait``, but 2.0 is stored
     until a row changes it.
 
-    One range shuffle of (domain, ts, id, score) and one small shuffle of summaries;
-    no task holds a whole domain.
+    One range shuffle of (domain, ts, id, score) and small shuffles of summaries, of which
+    no row or task holds more than two of a domain (``compose_stretches``).
     """
     optional = lambda c, absent: F.col(c) if c in history.columns else absent
     rows = history.where(_usable_score()).select(
@@ -157,20 +165,15 @@ def fold_profiles(
             )
         )
     parts = _profile_parts()
-    names = [p.name for p in parts]
     latest = Part(
         "_last", "bigint", ["_us"], lambda c: 0, lambda s, t: int(t[-1]) if len(t) else s
     )
-    folded = (
-        summarise(sort_rows(rows, ["domain"], ["_us", "id"]), ["domain"], [*parts, latest])
-        .groupBy("domain")
-        .agg(
-            segments(names).alias("_segs"),
-            F.sum("_n").alias("_n"),
-            F.sum("_ok").alias("_ok"),
-            F.sum("_moves").alias("_moves"),
-            F.max("_last").alias("_last"),
-        )
+    stretches = summarise(sort_rows(rows, ["domain"], ["_us", "id"]), ["domain"], [*parts, latest])
+    add = lambda a, b: a + b
+    folded = compose_stretches(
+        stretches,
+        ["domain"],
+        {"_n": add, "_ok": add, "_moves": add, "_last": F.greatest, "_avg": compose_tables, "_wait": _then_wait},
     )
     if prior is None:
         known = folded.select(
@@ -182,13 +185,13 @@ def fold_profiles(
         )
     else:
         old = prior.select(
-            "domain",
+            F.col("domain").alias("_domain0"),
             F.col("wait_seconds").alias("_w"),
             F.col("total_scrapes").alias("_n0"),
             F.col("total_successes").alias("_ok0"),
             F.col("last_scraped").cast("timestamp").alias("_last0"),
         )
-        known = folded.join(old, "domain", "left").select(
+        known = folded.join(old, F.col("domain").eqNullSafe(F.col("_domain0")), "left").select(
             *folded.columns,
             "_w",
             F.coalesce("_n0", F.lit(0)).alias("_n0"),
@@ -196,18 +199,15 @@ def fold_profiles(
             "_last0",
         )
 
-    def waited(state, seg):
-        shift, low, high = (seg["_wait"][i] for i in range(3))
-        return F.least(high, F.greatest(low, state + shift))
-
+    shift, low, high = (F.col("_wait")[i] for i in range(3))
     total = (F.col("_n") + F.col("_n0")).cast("long")
     success = (F.col("_ok") + F.col("_ok0")).cast("long")
     seen = F.when(F.col("_n") > 0, F.timestamp_micros("_last"))
     start = F.when(F.col("_moves") > 0, float(default_wait)).otherwise(fv.DEFAULT_WAIT_SECONDS)
     return known.select(
         "domain",
-        F.aggregate("_segs", F.coalesce("_w", start), waited).alias("wait_seconds"),
-        (run_machine(F.col("_segs"), "_avg", F.lit(_NONE)) / 1000.0).alias("avg_quality"),
+        F.least(high, F.greatest(low, F.coalesce("_w", start) + shift)).alias("wait_seconds"),
+        (F.element_at("_avg", F.when(F.size("_avg") == 1, 1).otherwise(_NONE + 1)) / 1000.0).alias("avg_quality"),
         total.alias("total_scrapes"),
         success.alias("total_successes"),
         (total - success).alias("total_failures"),

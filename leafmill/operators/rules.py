@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,15 +76,22 @@ def feedback_rules(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.coalesce(
         F.col("_d.rule_type").isin(fv.RULE_TYPES) & F.col("_d.selector").isNotNull(),
         F.lit(False),
-    )
+    ) & F.col("domain").isNotNull()
     wishes = rows.where(usable).select(
         "id", "ts", "domain", "_d.rule_type", "_d.selector"
     )
     return wishes, rows.where(~usable).drop("_d")
 
 
+def _usable_key() -> Column:
+    """A rule needs a domain, a supported type and a selector."""
+    named = F.col("domain").isNotNull() & F.col("selector").isNotNull()
+    return named & F.coalesce(F.col("rule_type").isin(fv.RULE_TYPES), F.lit(False))
+
+
 def rejected_evidence(evidence: DataFrame) -> DataFrame:
-    return evidence.where(~F.col("rule_type").isin(fv.RULE_TYPES))
+    """The rows that ``fold_evidence`` does not apply: a null in the key, or an unsupported type."""
+    return evidence.where(~_usable_key())
 
 
 def fold_evidence(
@@ -94,12 +101,14 @@ def fold_evidence(
 
     ``evidence``: KEY, ts, id, reason, evidence, confidence, explicit. ``rules`` is an
     older table to continue from (KEY, id, confidence, evidence_count, status,
-    evidence). Confidence is a noisy-or, so its product and the counts combine before
+    evidence). Rows with a null domain or selector, or without a supported type, make no rule
+    (``rejected_evidence`` returns them); rules of an older table stay as they are, whatever their
+    keys. Confidence is a noisy-or, so its product and the counts combine before
     the shuffle; a candidate becomes active when both limits hold, and since both only
     grow, the last row tells. The list of the last ten pieces of evidence is the one
     thing that needs the order.
     """
-    usable = evidence.where(F.col("rule_type").isin(fv.RULE_TYPES)).withColumn(
+    usable = evidence.where(_usable_key()).withColumn(
         "confidence", F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
     )
     at = F.struct("ts", "id")
@@ -117,7 +126,7 @@ def fold_evidence(
     if rules is None:
         old_columns = {
             "id0": "bigint", "_conf0": "double", "_n0": "bigint", "_status0": "string",
-            "_created0": "timestamp", "_reason0": "string",
+            "_created0": "timestamp", "_reason0": "string", "_evidence0": "array<string>",
         }
         joined = summed.select(
             "*", *[F.lit(None).cast(t).alias(c) for c, t in old_columns.items()]
@@ -132,6 +141,7 @@ def fold_evidence(
             F.col("status").alias("_status0"),
             F.col("created_at").alias("_created0"),
             F.col("reason").alias("_reason0"),
+            F.col("evidence").alias("_evidence0"),
         )
         joined = summed.join(old, KEY, "full")
         last_id = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last_id")).scalar()
@@ -173,11 +183,13 @@ def fold_evidence(
         status.alias("status"),
         F.coalesce("_created0", F.col("_first.ts")).alias("created_at"),
         F.col("_ts").alias("updated_at"),
+        "_evidence0",
         F.col("_first.ts").alias("_first_ts"),
         F.col("_first.id").alias("_first_id"),
     ).join(kept, KEY, "left")
-    out = out.withColumn("evidence", F.coalesce("_list", F.array().cast("array<string>"))).drop(
-        "_list"
+    none = F.array().cast("array<string>")
+    out = out.withColumn("evidence", F.coalesce("_list", "_evidence0", none)).drop(
+        "_list", "_evidence0"
     )
     if last_id is not None:
         out = stage(out, "rules")

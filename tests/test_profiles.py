@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import profiles
-from leafmill.operators.ordered import chunked, chunked_row_number, fold_lists, last_distinct, scan_states
+from leafmill.operators.ordered import chunked, chunked_row_number, compose_stretches, compose_tables, fold_lists, last_distinct, scan_states, sort_rows, value_changes
 
 T0 = datetime(2024, 1, 1)
 
@@ -197,7 +197,7 @@ def test_lists_are_exact_across_chunks(spark):
         return items if item in items else [*items, item][-10:]
 
     df = spark.createDataFrame(rows, "key string, i long, v string").repartition(5)
-    for lists in (fold_lists(df, ["key"], ["i"], "v", extend, growth=2), last_distinct(df, ["key"], ["i"], "v", 10)):
+    for lists in (fold_lists(df, ["key"], ["i"], "v", extend, rounds=1), fold_lists(df, ["key"], ["i"], "v", extend, rounds=9), last_distinct(df, ["key"], ["i"], "v", 10)):
         assert {r["key"]: r["_list"] for r in lists.collect()} == _queues(rows)
     assert last_distinct(df.limit(0), ["key"], ["i"], "v", 10).count() == 0
 
@@ -220,3 +220,45 @@ def test_lists_take_few_jobs_for_many_chunks(spark, values):
         jobs[chunks] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lists-{values}-{chunks}"))
         assert {r["key"]: r["_list"] for r in got} == _queues(rows)
     assert 0 < jobs[64] <= (jobs[8] if values == 6 else 40), jobs
+
+
+def test_hot_domain_over_500_chunks(spark):
+    """Its stretches are put together in pairs; the result is that of the plain loop."""
+    rows = sorted(("hot", T0 + timedelta(seconds=i), i, q) for i, (_, _, _, q) in enumerate(history(seed=9, n=2500)))
+    parts = profiles._profile_parts()
+    stretches = []
+    for chunk in range(500):
+        q = np.array([round(r[3] * 1000) for r in rows[chunk * 5 : chunk * 5 + 5]])
+        columns = {"_q": q, "_used": np.full(len(q), np.nan), "_learn": np.full(len(q), True)}
+        states = [p.absorb(p.new(True), *(columns[c] for c in p.columns)) for p in parts]
+        stretches.append(("hot", chunk, *states))
+    schema = "domain string, _chunk int, " + ", ".join(f"{p.name} {p.ddl}" for p in parts)
+    add = lambda a, b: a + b
+    together = {"_n": add, "_ok": add, "_moves": add, "_avg": compose_tables, "_wait": profiles._then_wait}
+    made = compose_stretches(spark.createDataFrame(stretches, schema), ["domain"], together).collect()
+    assert len(made) == 1 and len(made[0]["_avg"]) == 1  # all entries agree long before the end
+    shift, low, high = made[0]["_wait"]
+    want = loop(rows)["hot"]
+    assert (min(high, max(low, 2.0 + shift)), made[0]["_avg"][0] / 1000, made[0]["_n"], made[0]["_ok"]) == want[:4]
+
+
+def test_only_changes_of_values_are_kept(spark):
+    """A key with a third of the rows, mostly repeats: its walk is its changes."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i, f"v{i // 90 % 12}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "key string, i long, v string")
+    changes = value_changes(sort_rows(df, ["key"], ["i"]), ["key"], "v").cache()
+    chunks = changes.select("_chunk").distinct().count()
+    assert changes.where("key = 'hot'").count() <= 100 + chunks  # of 3,000 rows
+    extend = lambda items, item: items if item in items else [*items, item][-10:]
+    want = {}
+    for key, _, v in rows:
+        want[key] = extend(want.get(key, []), v)
+    assert {r.key: r["_list"] for r in fold_lists(df, ["key"], ["i"], "v", extend).collect()} == want
+
+
+def test_null_domains_go_on_from_their_row(spark):
+    first = profiles.fold_profiles(frame(spark, [(None, T0, 1, 0.5), ("a", T0, 2, 1.0)]))
+    more = frame(spark, [(None, T0 + timedelta(seconds=5), 3, 1.0), ("a", T0 + timedelta(seconds=5), 4, 0.0)])
+    got = result(profiles.fold_profiles(more, first))
+    want = loop([(None, T0, 1, 0.5), ("a", T0, 2, 1.0), (None, T0 + timedelta(seconds=5), 3, 1.0), ("a", T0 + timedelta(seconds=5), 4, 0.0)])
+    assert got == want and got[None][2] == 2

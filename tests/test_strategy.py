@@ -264,3 +264,18 @@ def test_tables_keep_versions_and_upgrade(spark, tmp_path):
     old_history = spark.createDataFrame([(1, "a")], "id long, domain string")
     up = tables.upgrade(old_history, "extraction_history").first()
     assert (up["uncertainty"], up["issues"], up["model_used"]) == (1.0, [], "")
+
+
+def test_evidence_with_a_null_in_its_key_is_rejected(spark):
+    """It makes no rule; rules of an older table stay, and their evidence with them."""
+    schema = "domain string, rule_type string, selector string, ts timestamp, id long, reason string, evidence string, confidence double, explicit boolean"
+    at = datetime(2024, 1, 1)
+    keys = [("a", "class", "x"), (None, "class", "x"), ("a", None, "x"), ("a", "class", None), ("a", "xpath", "x")]
+    rows = [(*k, at, n, "r", f"e{n}", 0.5, False) for n, k in enumerate(keys)]
+    evidence = spark.createDataFrame(rows, schema)
+    assert sorted(r.id for r in rules.rejected_evidence(evidence).collect()) == [1, 2, 3, 4]
+    first = rules.fold_evidence(evidence)
+    assert [(r.domain, r.selector, r.evidence_count, r.evidence) for r in first.collect()] == [("a", "x", 1, ["e0"])]
+    old = first.unionByName(first.select(*[F.lit(None).cast("string").alias(c) if c == "domain" else F.lit(9).cast("long").alias(c) if c == "id" else F.col(c) for c in first.columns]))
+    again = rules.fold_evidence(evidence, old).collect()
+    assert sorted((r.domain or "", r.id, r.evidence_count, r.evidence) for r in again) == [("", 9, 1, ["e0"]), ("a", 1, 2, ["e0"])]
