@@ -35,7 +35,7 @@ from leafmill.operators import (
     rules,
     scoring,
 )
-from leafmill.plans import extraction, views
+from leafmill.plans import examples, extraction, recovery, views
 from leafmill.session import new_dir, stage
 from leafmill.sources import schemas, sinks, tables
 from leafmill.streaming import profiles as stream
@@ -198,19 +198,21 @@ def legacy_history_import(spark, sf):
 
 @query
 def legacy_rules_import(spark, sf):
-    """Rules of the older row store, from their evidence as a JSON list."""
+    """Rules of the older row store, from their evidence as a JSON list; what is unusable says why."""
     rows = views.evidence_rows(spark, sf)
-    old = rows.where("rule_type <> 'xpath'").select(
+    listed = F.to_json(F.array("evidence", "reason"))
+    old = rows.select(
         "id", "domain", "rule_type", "selector", "confidence",
-        F.to_json(F.array("evidence", "reason")).alias("supporting_evidence"),
+        F.when(F.col("id") % 11 == 5, F.lit("seen once")).otherwise(listed).alias("supporting_evidence"),
         F.unix_timestamp("ts").cast("double").alias("created_at"),
         F.lit(0.0).alias("updated_at"),
     )
-    return tables.import_legacy(old, "cleaning_rules").select(
-        "id", "domain", "selector", "status", "evidence_count",
+    return tables.import_legacy(old, "cleaning_rules", rejects=True).select(
+        "id", "domain", "rule_type", "selector", "status", "evidence_count",
         F.array_join("evidence", "|").alias("evidence"),
         F.col("created_at").cast("long").alias("created_second"),
         F.col("updated_at").isNull().alias("never_updated"),
+        "rejected",
     )
 
 
@@ -615,6 +617,33 @@ def _refined(spark, sf):
     return run, again, out
 
 
+@query
+def recovered_run(spark, sf):
+    """A run whose failed pages are asked again: shorter content, the fallback model, until budgets end."""
+    schema = fv.SCHEMAS["ARTICLES"]
+    cleaned, reqs = extraction.build_requests(views.pages(spark, sf), schema)
+    tried = recovery.ask_with_recovery(
+        cleaned, reqs, examples.moody_extractor, F.lit("2024-03-01"), fallback_model=examples.FALLBACK
+    )
+    run = extraction.finish_run(cleaned, reqs, tried.answered, schema)
+    results = tried.plan.groupBy(F.col("job_id").cast("long").alias("page_id")).agg(
+        F.count("*").alias("failures"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "result", "attempt"))),
+                                 lambda r: F.concat_ws(":", r["result"], r["attempt"])), ",").alias("results"),
+    )
+    told = tried.events.groupBy(F.col("job_id").cast("long").alias("page_id")).agg(F.count("*").alias("events"))
+    return (
+        tried.settings.join(results, "page_id", "left").join(told, "page_id", "left")
+        .join(run.quality.select("page_id", "results_count"), "page_id", "left")
+        .join(run.failures.select("page_id", "error_type"), "page_id", "left")
+        .select(
+            "page_id", F.col("asks").cast("long").alias("asks"), F.col("content_limit").cast("long").alias("content_limit"), "model",
+            F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("results", F.lit("")).alias("results"),
+            F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("results_count", F.lit(0)).cast("long").alias("records"), "error_type",
+        )
+    )
+
+
 @query
 def refined_run(spark, sf):
     run, again, out = _refined(spark, sf)

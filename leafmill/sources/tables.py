@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leafmill import fixed_values as fv
+
 # Column layouts with the value an older row gets for a column it lacks.
 LAYOUTS: dict[str, list[tuple[str, str, object]]] = {
     "domain_profiles": [
@@ -84,10 +86,10 @@ def layout(name: str) -> StructType:
     return StructType.fromDDL(", ".join(f"{c} {t}" for c, t, _ in LAYOUTS[name]))
 
 
-def upgrade(df: DataFrame, name: str) -> DataFrame:
+def upgrade(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``df`` in the present layout: columns an older table lacks get their defaults.
 
-    A value that is present, null included, is kept.
+    A value that is present, null included, is kept. ``keep`` names further columns to keep.
     """
     out = []
     for column, kind, default in LAYOUTS[name]:
@@ -97,15 +99,40 @@ def upgrade(df: DataFrame, name: str) -> DataFrame:
             out.append(F.array().cast(kind).alias(column))
         else:
             out.append(F.lit(default).cast(kind).alias(column))
-    return df.select(*out)
-
-
-def import_legacy(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*out, *keep)
+
+
+def _reject_reason(df: DataFrame, name: str) -> Column:
+    """Why a row of the older store cannot be used (the first reason that holds), else null."""
+    reason = F.lit(None).cast("string")
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    tests = []
+    if name == "cleaning_rules":
+        supported = F.coalesce(have("rule_type").isin(fv.RULE_TYPES), F.lit(False))
+        unread = have("supporting_evidence").isNotNull() & F.from_json(have("supporting_evidence").cast("string"), "array<string>").isNull()
+        tests = [
+            ("no domain", have("domain").isNull()), ("no selector", have("selector").isNull()),
+            ("unsupported rule type", ~supported), ("evidence is no list", unread),
+        ]
+    elif name == "extraction_history":
+        scored = F.coalesce(have("quality_score").cast("double").between(0.0, 1.0), F.lit(False))
+        tests = [("no domain", have("domain").isNull()), ("no score from 0 to 1", ~scored)]
+    elif name != "feedback":
+        tests = [("no domain", have("domain").isNull())]
+    for why, holds in reversed(tests):
+        reason = F.when(holds, why).otherwise(reason)
+    return reason
+
+
+def import_legacy(df: DataFrame, name: str, *, rejects: bool = False) -> DataFrame:
     """Rows of the older row store in the present layout.
 
     There, times are seconds since 1970 (0 for never), issues a comma-joined text, and
     pieces of evidence a JSON list. Columns that did not exist yet get their defaults.
+    With ``rejects``, a column ``rejected`` says why a row cannot be used (null for good ones),
+    so that one pass gives both; no row is left out either way.
     """
+    whole = df.withColumn("rejected", _reject_reason(df, name)) if rejects else df
     renamed = {"timestamp": "ts", "error": "issues", "supporting_evidence": "evidence"}
     kinds = {c: t for c, t, _ in LAYOUTS[name]}
     out = {}
@@ -125,7 +152,10 @@ def import_legacy(df: DataFrame, name: str) -> DataFrame:
                 F.from_json(value, kind), F.array().cast(kind)
             )
         out[target] = value.alias(target)
-    return upgrade(df.select(*out.values()), name)
+    if not rejects:
+        return upgrade(df.select(*out.values()), name)
+    whole = whole.select(*out.values(), "rejected")
+    return upgrade(whole, name, keep=("rejected",))
 
 
 _LOG = "version long, stream string, batch long"

@@ -607,9 +607,21 @@ ORACLE["rule_evidence"] = f"""
 WITH {EVIDENCE} SELECT id, domain, rule_type, selector, round(conf, 6) AS confidence, evidence_count::BIGINT AS evidence_count, status, reason,
   array_to_string(kept, ',') AS evidence, epoch_us(created) AS created_us FROM made"""
 ORACLE["legacy_rules_import"] = f"""
-WITH {EVIDENCE} SELECT id, domain, selector, 'candidate' AS status, 0::BIGINT AS evidence_count, evidence || '|' || reason AS evidence,
-  (epoch_us(ts) // 1000000)::BIGINT AS created_second, true AS never_updated FROM ev WHERE rule_type <> 'xpath'"""
+WITH {EVIDENCE} SELECT id, domain, rule_type, selector, 'candidate' AS status, 0::BIGINT AS evidence_count,
+  CASE WHEN id % 11 = 5 THEN '' ELSE evidence || '|' || reason END AS evidence,
+  (epoch_us(ts) // 1000000)::BIGINT AS created_second, true AS never_updated,
+  CASE WHEN rule_type NOT IN ('class', 'id', 'tag') THEN 'unsupported rule type' WHEN id % 11 = 5 THEN 'evidence is no list' END AS rejected FROM ev"""
 ORACLE["rule_evidence_continued"] = ORACLE["rule_evidence"]
+ORACLE["recovered_run"] = """
+SELECT page_id, CASE WHEN k IN (0, 4) THEN 3 WHEN k IN (1, 2, 3) THEN 2 ELSE 1 END::BIGINT AS asks,
+  CASE WHEN k IN (0, 1, 3, 4) THEN 25000 ELSE 50000 END::BIGINT AS content_limit, CASE WHEN k IN (2, 4) THEN 'second-model' END AS model,
+  CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END::BIGINT AS failures,
+  CASE k WHEN 0 THEN 'partial_recovery:1,partial_recovery:2,escalation_required' WHEN 4 THEN 'partial_recovery:1,recovered:1'
+    WHEN 1 THEN 'recovered:1' WHEN 2 THEN 'recovered:1' WHEN 3 THEN 'recovered:1' ELSE '' END AS results,
+  -- A try is opened, its steps (two, or three at the provider) are taken, and it ends; a spent budget makes two events.
+  CASE k WHEN 0 THEN 4 + 4 + 2 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 4 WHEN 4 THEN 4 + 5 ELSE 0 END::BIGINT AS events,
+  CASE WHEN k = 0 THEN 0 ELSE 1 END::BIGINT AS records, CASE WHEN k = 0 THEN 'LLMParseError' END AS error_type
+FROM (SELECT page_id, page_id % 7 AS k FROM pages)"""
 ORACLE["rejected_evidence"] = f"""
 WITH {EVIDENCE} SELECT domain, rule_type, count(*) AS n FROM ev WHERE rule_type = 'xpath' GROUP BY ALL"""
 ORACLE["active_rules"] = f"""
