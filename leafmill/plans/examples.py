@@ -44,3 +44,38 @@ def moody_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "model": batch["model"], "error_type": error, "status_code": status,
             }
         )
+
+
+def headline_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A first try that finds little: one field of six, by page also most of them."""
+    for batch in batches:
+        lines = [t.split("\n") for t in batch["user_content"]]
+        poor = [[{"headline": "x"}] if i % 6 else [{"headline": x[0], "author": "A. Writer", "published_date": "2024-01-15", "summary": x[-1]}] for i, x in zip(batch["page_id"], lines)]
+        yield pd.DataFrame({"page_id": batch["page_id"], "raw_output": list(map(json.dumps, poor)), "input_tokens": 5, "output_tokens": 1, "latency_ms": 1.0, "model": "first"})
+
+
+def hint_writer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Writes instructions; by page too short ones, blanks, or nothing because it is down."""
+    for batch in batches:
+        said = {0: "  Look for the author below the headline. ", 1: "Look closer.", 2: "   ", 3: None}
+        kind = [i % 5 for i in batch["page_id"]]
+        yield pd.DataFrame(
+            {
+                "page_id": batch["page_id"], "raw_output": pd.Series([said.get(k, said[0]) for k in kind], index=batch.index, dtype=object),
+                "input_tokens": 20, "output_tokens": 2, "latency_ms": 4.0, "model": "writer",
+                "error_type": pd.Series(["LLMProviderError" if k == 3 else None for k in kind], index=batch.index, dtype=object),
+            }
+        )
+
+
+def hinted_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A second try: two fields more for pages that were given a hint, the same as before for others."""
+    for batch in batches:
+        hinted = batch["system_prompt"].str.contains("below the headline")
+        good = {"headline": "Mill stops", "author": "A. Writer", "url": "/a"}
+        yield pd.DataFrame(
+            {
+                "page_id": batch["page_id"], "raw_output": [json.dumps([good if h else {"headline": "x"}]) for h in hinted],
+                "input_tokens": 7, "output_tokens": 3, "latency_ms": 2.0, "model": "second",
+            }
+        )

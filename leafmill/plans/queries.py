@@ -35,7 +35,7 @@ from leafmill.operators import (
     rules,
     scoring,
 )
-from leafmill.plans import examples, extraction, recovery, views
+from leafmill.plans import examples, extraction, recovery, refinement, views
 from leafmill.session import new_dir, stage
 from leafmill.sources import schemas, sinks, tables
 from leafmill.streaming import profiles as stream
@@ -667,6 +667,29 @@ def refined_run(spark, sf):
     )
 
 
+@query
+def refinement_chain(spark, sf):
+    """First scores, instructions by a model, second scores, and the judged prompt rows."""
+    schema = fv.SCHEMAS["ARTICLES"]
+    cleaned, reqs = extraction.build_requests(views.pages(spark, sf), schema)
+    run = extraction.finish_run(cleaned, reqs, requests.run_extractor(reqs, examples.headline_extractor), schema)
+    out = refinement.refine_run(run, schema, examples.hint_writer, examples.hinted_extractor, F.lit("2024-03-01").cast("timestamp"))
+    asked = out.written.select("page_id", F.coalesce("answer", "error_type").alias("written"))
+    tried = out.retried.select("page_id", F.element_at(F.split("system_prompt", "\n"), -1).alias("told"))
+    judged = out.refined.prompts.select(
+        F.col("id").alias("page_id"), "version", "status", "extra_instructions", "latency_ms", "input_tokens", "output_tokens"
+    )
+    kept = out.refined.records.groupBy("page_id").agg(F.max(F.size("rec")).alias("fields"))
+    return (
+        out.refined.choice.join(asked, "page_id", "left").join(tried, "page_id", "left").join(judged, "page_id", "left").join(kept, "page_id")
+        .select(
+            "page_id", (F.col("baseline_quality") < fv.QUALITY_GOOD).alias("weak"), F.col("candidate_quality").isNotNull().alias("tried"), "accepted",
+            "written", "told", F.col("version").cast("long").alias("version"), "status", "extra_instructions", "latency_ms",
+            F.col("input_tokens").cast("long").alias("input_tokens"), F.col("output_tokens").cast("long").alias("output_tokens"), F.col("fields").cast("long").alias("fields"),
+        )
+    )
+
+
 @query
 def refined_run_strategy(spark, sf):
     """Profiles after both tries: two scrapes a page, waits from the first alone."""

@@ -622,6 +622,18 @@ SELECT page_id, CASE WHEN k IN (0, 4) THEN 3 WHEN k IN (1, 2, 3) THEN 2 ELSE 1 E
   CASE k WHEN 0 THEN 4 + 4 + 2 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 4 WHEN 4 THEN 4 + 5 ELSE 0 END::BIGINT AS events,
   CASE WHEN k = 0 THEN 0 ELSE 1 END::BIGINT AS records, CASE WHEN k = 0 THEN 'LLMParseError' END AS error_type
 FROM (SELECT page_id, page_id % 7 AS k FROM pages)"""
+_hint = "'Look for the author below the headline.'"
+ORACLE["refinement_chain"] = f"""
+WITH {TEXTS}, p AS (SELECT page_id, domain, page_id % 6 <> 0 AS weak, page_id % 5 AS k FROM t WHERE length(text) >= 50),
+c AS (SELECT *, weak AND k NOT IN (2, 3) AS tried, weak AND k IN (0, 4) AS good FROM p),
+v AS (SELECT page_id, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS version FROM c WHERE good)
+SELECT page_id, weak, tried, good AS accepted,
+  CASE WHEN weak THEN CASE k WHEN 1 THEN 'Look closer.' WHEN 2 THEN 'LLMExtractionError' WHEN 3 THEN 'LLMProviderError' ELSE {_hint} END END AS written,
+  CASE WHEN good THEN {_hint} WHEN tried THEN {q(fv.RETRY_INSTRUCTIONS["LOW_FILL_RATE"])} END AS told, version::BIGINT AS version,
+  CASE WHEN good THEN 'accepted' END AS status, CASE WHEN good THEN {_hint} END AS extra_instructions, CASE WHEN good THEN 6.0::DOUBLE END AS latency_ms,
+  CASE WHEN good THEN 27 END::BIGINT AS input_tokens, CASE WHEN good THEN 5 END::BIGINT AS output_tokens,
+  CASE WHEN NOT weak THEN 4 WHEN good THEN 3 ELSE 1 END::BIGINT AS fields
+FROM c LEFT JOIN v USING (page_id)"""
 ORACLE["rejected_evidence"] = f"""
 WITH {EVIDENCE} SELECT domain, rule_type, count(*) AS n FROM ev WHERE rule_type = 'xpath' GROUP BY ALL"""
 ORACLE["active_rules"] = f"""

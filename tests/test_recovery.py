@@ -1,4 +1,4 @@
-"""Pages that fail at the model, asked again inside the run."""
+"""Pages that fail at the model or score low, asked again inside the run."""
 
 import json
 
@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.operators import cleaning, requests
-from leafmill.plans import examples, recovery
+from leafmill.plans import examples, extraction, recovery, refinement
 from leafmill.sources import tables
 
 SCHEMA = {"title": "The title", "url": "The link"}
@@ -95,3 +95,46 @@ def test_import_says_why_rows_are_rejected(spark):
     }
     history = spark.createDataFrame([("a", 0.5, 1.0), (None, 0.5, 1.0), ("a", 7.0, 1.0)], "domain string, quality_score double, timestamp double")
     assert [r.rejected for r in tables.import_legacy(history, "extraction_history", rejects=True).collect()] == [None, "no domain", "no score from 0 to 1"]
+
+
+def test_replay_of_a_refinement_asks_nothing_twice(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    place = str(calls)
+
+    def counted(kind, model):
+        def answer(batches):
+            import uuid
+
+            for batch in batches:
+                for i in batch["page_id"]:
+                    open(f"{place}/{kind}-{i}-{uuid.uuid4().hex}", "w").close()
+                yield from model(iter([batch]))
+
+        return answer
+
+    rows = [(i, f"https://a{i % 2}.example/{i}", f"Mill {i} stops\nfor ever and a day, said the miller to the river below it.") for i in range(12)]
+    cleaned = spark.createDataFrame(rows, "page_id long, url string, text string").selectExpr("*", "regexp_extract(url, '//([^/]*)', 1) AS domain", "CAST(NULL AS struct<type:string,marker:string>) AS challenge")
+    schema = {"headline": "", "author": "", "published_date": "", "summary": "", "url": "", "category": ""}
+    reqs = requests.extraction_requests(cleaned, schema)
+    run = extraction.finish_run(cleaned, reqs, requests.run_extractor(reqs, examples.headline_extractor), schema)
+
+    def refine(folder, **more):
+        out = refinement.refine_run(
+            run, schema, counted("write", examples.hint_writer), counted("second", examples.hinted_extractor), F.lit("2024-01-01").cast("timestamp"),
+            path=folder, **more,
+        )
+        seen = sorted((r.id, r.status, r.version, r.extra_instructions) for r in out.refined.prompts.collect())
+        return seen, {r.page_id: (r.answer, r.error_type) for r in out.written.collect()}, sorted(r.page_id for r in out.retried.collect())
+
+    first = refine(f"{tmp_path}/answers")
+    weak = [i for i in range(12) if i % 6]
+    asked = sorted(f.name.rsplit("-", 1)[0] for f in calls.iterdir())
+    retried = [i for i in weak if i % 5 not in (2, 3)]
+    assert first[2] == retried and asked == sorted([*(f"write-{i}" for i in weak), *(f"second-{i}" for i in retried)])
+    assert [r[0] for r in first[0]] == [i for i in weak if i % 5 in (0, 4)] and {r[1] for r in first[0]} == {"accepted"}
+    assert first[1][1] == ("Look closer.", None) and first[1][2] == (None, "LLMExtractionError") and first[1][3] == (None, "LLMProviderError")
+    again = refine(f"{tmp_path}/answers")
+    assert again == first and len(list(calls.iterdir())) == len(asked)
+    changed = refine(f"{tmp_path}/answers", instructions="Be brief.")  # other second requests, the same first ones
+    assert changed[:1] == first[:1] and len(list(calls.iterdir())) == len(asked) + len(retried)
