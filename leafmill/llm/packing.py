@@ -298,7 +298,7 @@ def _pack(batches: Batches, kind: pa.DataType, vocabulary: str, pattern: str, st
         low = 0
         while low < len(texts):  # a few megabytes at a time
             high, size = low, 0
-            while high < len(texts) and (size < 12_000_000 or high == low):
+            while high < len(texts) and (size < 4_000_000 or high == low):
                 size, high = size + len(texts[high]), high + 1
             for name, ids in zip(names[low:high], encode(texts[low:high]), strict=True):
                 keys.append(name)
