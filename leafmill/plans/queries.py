@@ -110,7 +110,7 @@ def csv_field_order(spark, sf):
 def csv_sink(spark, sf):
     path = new_dir(spark, "csv")
     sinks.save_csv(views.part_records(spark, sf), path)
-    back = spark.read.option("header", True).csv(path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.groupBy("updated").agg(
         F.count("*").alias("records"),
         F.count("title").alias("titles"),

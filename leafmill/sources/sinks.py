@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +31,54 @@ def field_order(records: DataFrame) -> DataFrame:
     )
 
 
-def csv_rows(records: DataFrame) -> DataFrame:
-    """Records as columns: all keys, in first-seen order; missing ones are empty.
+def _lines(batches, names: list[str], most: int = 4_000_000):
+    """Records of one task as CSV lines, in batches of about ``most`` characters."""
+    buffer = io.StringIO()
+    writer = csv.writer(buffer, lineterminator="\n")
+
+    def line(cells) -> str:
+        buffer.seek(0)
+        buffer.truncate()
+        writer.writerow(cells)
+        return buffer.getvalue()[:-1]
+
+    out, size, top = [], 0, line(names) + "\n"
+    for rows in batches:
+        for entries in rows.column(0):
+            rec = dict(entries.as_py() or ())
+            out.append(top + line(map(rec.get, names)))
+            top, size = "", size + len(out[-1])
+            if size >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
 
-    Only the list of column names comes to the driver; a header needs it.
+def csv_lines(records: DataFrame) -> DataFrame | None:
+    """Each record as one CSV line (column ``value``), the header before the first line of every task.
+
+    All keys in first-seen order. They are one list that every task goes over with a
+    record's keys in a dictionary, so neither the plan nor the work for a line grows with the product
+    of both. A missing key or a null is empty, like an empty text; quotes inside
+    quoted texts are doubled (read with ``escape='"'``). Only the list of keys comes to the
+    driver, which a header needs. None when no record has a key.
     """
     names = [r["field"] for r in field_order(records).orderBy("first_seen").collect()]
-    return records.select(*[F.col("rec")[n].alias(n) for n in names])
+    if not names:
+        return None
+    return records.select("rec").mapInArrow(partial(_lines, names=names), "value string")
 
 
 def save_csv(records: DataFrame, path: str) -> bool:
-    """CSV with a header line per part file; nothing is written without records."""
-    rows = csv_rows(records)
-    if not rows.columns:
+    """CSV with a header line per part file; nothing is written without records.
+
+    A task writes one file, so its first line is the file's.
+    """
+    lines = csv_lines(records)
+    if lines is None:
         return False
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    lines.write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
     return True
 
 

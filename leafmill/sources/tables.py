@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from leafmill import fixed_values as fv
+from leafmill.sources.files import create_once, list_dirs, remove_dir
 
 # Column layouts with the value an older row gets for a column it lacks.
 LAYOUTS: dict[str, list[tuple[str, str, object]]] = {
@@ -158,7 +163,11 @@ def import_legacy(df: DataFrame, name: str, *, rejects: bool = False) -> DataFra
     return upgrade(whole, name, keep=("rejected",))
 
 
-_LOG = "version long, stream string, batch long"
+_LOG = "version long, stream string, batch long, folder string"
+
+
+class VersionConflict(RuntimeError):
+    """Another writer has made the version that was to be written."""
 
 
 def _log(spark: SparkSession, root: str, name: str) -> DataFrame | None:
@@ -189,29 +198,95 @@ def read_table(
     spark: SparkSession, root: str, name: str, version: int | None = None
 ) -> DataFrame:
     """A version of a strategy table, the newest by default; empty when there is none."""
-    if version is None:
-        version = newest_version(spark, root, name)
+    log = _log(spark, root, name)
+    if log is not None and version is None:
+        version = log.agg(F.max("version")).first()[0]
     if version is None:
         return spark.createDataFrame([], layout(name))
-    return upgrade(spark.read.parquet(f"{root}/{name}/v{version}"), name)
+    found = None if log is None else log.where(F.col("version") == version).first()
+    folder = found and found["folder"] or f"v{version}"
+    return upgrade(spark.read.parquet(f"{root}/{name}/{folder}"), name)
 
 
 def write_table(
-    df: DataFrame, root: str, name: str, *, stream: str | None = None, batch: int | None = None
+    df: DataFrame,
+    root: str,
+    name: str,
+    *,
+    base: int | None = None,
+    stream: str | None = None,
+    batch: int | None = None,
 ) -> int:
     """Write the next version beside the one that may still be read.
 
-    A version counts once it is in the log, so a job that dies half way leaves the old
-    version in force, and what it wrote is overwritten. The log keeps ``stream`` and ``batch``
-    of a micro-batch. One writer at a time.
+    Every attempt has a folder of its own, and a version counts once its log file exists. That
+    file is made by one exclusive step, so of two writers one gets the version. A job
+    that dies half way leaves the old version in force. ``base`` is the version that ``df`` was made
+    from (-1: none): if a newer one exists by the end, ``VersionConflict`` is raised
+    and nothing counts. Without it the rows replace whatever is newest. The log keeps
+    ``stream`` and ``batch`` of a micro-batch.
     """
     spark = df.sparkSession
     last = newest_version(spark, root, name)
-    version = 0 if last is None else last + 1
-    upgrade(df, name).write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    done = spark.createDataFrame([(version, stream, batch)], _LOG).coalesce(1)
-    done.write.mode("append").json(f"{root}/{name}/log")
-    return version
+    folder = f"v{0 if last is None else last + 1}-{uuid.uuid4().hex}"
+    upgrade(df, name).write.parquet(f"{root}/{name}/{folder}")
+    while True:
+        last = newest_version(spark, root, name)
+        last = -1 if last is None else last
+        if base is not None and last != base:
+            raise VersionConflict(f"{name}: version {last} is newer than {base}")
+        record = {"version": last + 1, "stream": stream, "batch": batch, "folder": folder}
+        if create_once(spark, f"{root}/{name}/log/v{last + 1}.json", json.dumps(record) + "\n"):
+            return last + 1
+
+
+def update_table(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    change: Callable[[DataFrame | None], DataFrame],
+    *,
+    stream: str | None = None,
+    batch: int | None = None,
+    tries: int = 20,
+) -> int | None:
+    """``change`` applied to the newest version (None if there is none), as the next version.
+
+    Where another writer was faster, its version is read and ``change`` applied to that, so no
+    writer loses another's rows. A micro-batch that is in the log already is not
+    applied again, and None returned.
+    """
+    for _ in range(tries):
+        if stream is not None and holds_batch(spark, root, name, stream, batch):
+            return None
+        last = newest_version(spark, root, name)
+        new = change(None if last is None else read_table(spark, root, name, last))
+        try:
+            return write_table(new, root, name, base=-1 if last is None else last, stream=stream, batch=batch)
+        except VersionConflict:
+            continue
+    raise VersionConflict(f"{name}: {tries} attempts were overtaken by other writers")
+
+
+def expire_versions(
+    spark: SparkSession, root: str, name: str, *, keep: int = 5, idle_hours: float = 24
+) -> list[str]:
+    """Remove data of all but the newest ``keep`` versions, and of attempts that never counted.
+
+    The newest version always stays, and so does a folder that was changed within ``idle_hours``: a
+    job may still read or write it. The log stays whole, so version numbers
+    and micro-batches are known for good. Returns the removed folders.
+    """
+    if keep < 1:
+        raise ValueError("the newest version stays: keep must be at least 1")
+    folders = list_dirs(spark, f"{root}/{name}")  # before the log: a new version is no leftover
+    log = _log(spark, root, name)
+    newest = [] if log is None else log.orderBy(F.desc("version")).limit(keep).collect()
+    held = {r["folder"] or f"v{r['version']}" for r in newest}
+    old = [f for f, hours in folders if f not in held | {"log", "pending"} and hours >= idle_hours]
+    for folder in old:
+        remove_dir(spark, f"{root}/{name}/{folder}")
+    return old
 
 
 def append_history(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators.profiles import fold_profiles
-from leafmill.sources.tables import holds_batch, newest_version, read_table, write_table
+from leafmill.sources.tables import read_table, update_table
 
 
 def profile_updater(root: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
@@ -24,14 +24,10 @@ def profile_updater(root: str, checkpoint: str) -> Callable[[DataFrame, int], No
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stream = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-        if holds_batch(spark, root, "domain_profiles", stream, batch_id):
-            return
-        older = newest_version(spark, root, "domain_profiles")
-        prior = None
-        if older is not None:
-            prior = read_table(spark, root, "domain_profiles", older)
-        folded = fold_profiles(batch, prior)
-        write_table(folded, root, "domain_profiles", stream=stream, batch=batch_id)
+        update_table(
+            spark, root, "domain_profiles", lambda prior: fold_profiles(batch, prior),
+            stream=stream, batch=batch_id,
+        )
 
     return update
 

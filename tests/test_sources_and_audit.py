@@ -1,5 +1,6 @@
 """Schemas, sinks, the stream and the command audit."""
 
+import csv
 import json
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -48,6 +49,46 @@ def test_csv(spark, records, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def _csv_rows(folder):
+    """All rows of the part files, by Python's reader; every file has its own header."""
+    rows = []
+    for part in sorted(folder.glob("part-*")):
+        with open(part, newline="", encoding="utf-8") as f:
+            lines = list(csv.reader(f))
+        rows += [(tuple(lines[0]), tuple(x)) for x in lines[1:]]
+    return rows
+
+
+def test_csv_values_survive(spark, tmp_path):
+    odd = ["x,y", 'q"q', "line\nbreak", " blank ends ", "", None, "a\r\nb", "a\rb", "naïve"]
+    data = [(i, 0, {"k,1": v, "b": "1"}) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(data, "page_id long, rec_ord int, rec map<string,string>").repartition(3)
+    assert sinks.save_csv(df, str(tmp_path / "odd"))
+    rows = _csv_rows(tmp_path / "odd")
+    assert {h for h, _ in rows} == {("k,1", "b")}
+    assert sorted(v for _, v in rows) == sorted((v or "", "1") for v in odd)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "odd"))
+    assert back.count() == len(odd) and back.where("`k,1` = 'q\"q'").count() == 1
+    one = spark.createDataFrame([(1, 0, {"a": None}), (2, 0, {"a": "x"})], df.schema).coalesce(1)
+    assert sinks.save_csv(one, str(tmp_path / "one"))
+    assert sorted(v for _, v in _csv_rows(tmp_path / "one")) == [("",), ("x",)]
+
+
+def test_csv_of_very_many_keys(spark, tmp_path):
+    """50,000 distinct keys: the plan has one column, not one for each."""
+    n = 50_000
+    rec = F.create_map(F.concat(F.lit("k"), F.col("id")), F.col("id").cast("string"))
+    df = spark.range(n).where("id % 2500 < 2").select(F.col("id").alias("page_id"), F.lit(0).alias("rec_ord"), rec.alias("rec"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.concat(F.lit("k"), i), i.cast("string")))
+    one = spark.range(1).select(F.lit(n).cast("long").alias("page_id"), F.lit(0).alias("rec_ord"), F.map_from_entries(wide).alias("rec"))
+    assert sinks.csv_lines(df.unionByName(one)).columns == ["value"]
+    assert sinks.save_csv(df.unionByName(one), str(tmp_path / "wide"))
+    rows = _csv_rows(tmp_path / "wide")
+    assert len(rows) == 41 and all(len(h) == n == len(v) and set(h) == {f"k{i}" for i in range(n)} for h, v in rows[:3])
+    header, last = rows[-1]
+    assert all(f"k{v}" == h for h, v in zip(header, last, strict=True))
+
+
 def test_json(spark, records, tmp_path):
     out = tmp_path / "json"
     sinks.save_json(records, str(out))

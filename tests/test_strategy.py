@@ -1,6 +1,8 @@
 """Prompts and cleaning rules against loops over their rows."""
 
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import profiles, prompts, requests, rules
 from leafmill.sources import tables
+from leafmill.sources.files import create_once
 
 T0 = datetime(2024, 1, 1)
 CANDIDATE = "id long, ts timestamp, domain string, schema_name string, extra_instructions string, baseline_quality double, times_used long"
@@ -266,6 +269,54 @@ def test_tables_keep_versions_and_upgrade(spark, tmp_path):
     assert (up["uncertainty"], up["issues"], up["model_used"]) == (1.0, [], "")
 
 
+def test_concurrent_writers_both_land(spark, tmp_path):
+    """Both start from the same version; the slower one reads the other's and goes on from there."""
+    root, schema = str(tmp_path), "domain string, wait_seconds double"
+    meet = threading.Barrier(2)
+
+    def add(name):
+        waited = []
+
+        def change(old):
+            mine = spark.createDataFrame([(name, 1.0)], schema)
+            if not waited:  # both have read before either writes
+                waited.append(meet.wait(60))
+            return mine if old is None else old.select("domain", "wait_seconds").unionByName(mine)
+
+        return tables.update_table(spark, root, "domain_profiles", change)
+
+    with ThreadPoolExecutor(2) as pool:
+        made = list(pool.map(add, ["a", "b"]))
+    assert sorted(made) == [0, 1]
+    assert sorted(r.domain for r in tables.read_table(spark, root, "domain_profiles").collect()) == ["a", "b"]
+    with pytest.raises(tables.VersionConflict):
+        tables.write_table(spark.createDataFrame([("c", 1.0)], schema), root, "domain_profiles", base=0)
+    assert tables.newest_version(spark, root, "domain_profiles") == 1
+
+
+def test_expiry_keeps_versions_in_force(spark, tmp_path):
+    root, schema = str(tmp_path), "domain string, wait_seconds double"
+    for n in range(4):
+        tables.write_table(spark.createDataFrame([("a", float(n))], schema), root, "domain_profiles", stream="s", batch=n)
+    (tmp_path / "domain_profiles" / "data-unfinished").mkdir()
+    assert tables.expire_versions(spark, root, "domain_profiles", keep=1) == []  # all are too young
+    gone = tables.expire_versions(spark, root, "domain_profiles", keep=2, idle_hours=0)
+    assert len(gone) == 3 and "data-unfinished" in gone
+    assert tables.read_table(spark, root, "domain_profiles").first()["wait_seconds"] == 3.0
+    assert tables.read_table(spark, root, "domain_profiles", 2).first()["wait_seconds"] == 2.0
+    assert tables.holds_batch(spark, root, "domain_profiles", "s", 0)
+    assert tables.update_table(spark, root, "domain_profiles", lambda old: old, stream="s", batch=1) is None
+    with pytest.raises(ValueError):
+        tables.expire_versions(spark, root, "domain_profiles", keep=0)
+    assert tables.expire_versions(spark, root, "nothing", idle_hours=0) == []
+
+
+def test_create_once(spark, tmp_path):
+    path = str(tmp_path / "log" / "v0.json")
+    assert create_once(spark, path, "one") and not create_once(spark, path, "two")
+    assert open(path).read() == "one" and not list((tmp_path / "pending").glob("[!.]*"))
+
+
 def test_evidence_with_a_null_in_its_key_is_rejected(spark):
     """It makes no rule; rules of an older table stay, and their evidence with them."""
     schema = "domain string, rule_type string, selector string, ts timestamp, id long, reason string, evidence string, confidence double, explicit boolean"
