@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 from typing import Any
@@ -40,6 +41,21 @@ def is_garbage(rec: Column) -> Column:
     return reduce(or_, [text.contains(p) for p in fv.GARBAGE_PHRASES])
 
 
+def _cells(texts: dict[str, Column], schema: Schema) -> tuple[Column, Column, list[Column]]:
+    """Good cells of a record by two measures, and per field the error it has (or null)."""
+    filled, basic, errors = [], [], []
+    for field, spec in schema.items():
+        text = texts[field]
+        present = is_present(text, stripped=True)
+        telling = (F.length(text) > 1) & (fold_case(text) != fold_case(F.lit(field)))
+        filled.append(present.cast("int"))
+        basic.append((present & telling).cast("int"))
+        code = field_error(field, text, spec, stripped=True)
+        errors.append(F.concat(F.lit(f"{field}:"), code))
+    total = lambda parts: reduce(add, parts) if parts else F.lit(0)
+    return total(filled), total(basic), errors
+
+
 def record_measures(records: DataFrame, schema: Schema) -> DataFrame:
     """Per record: counts of good cells, and one flag per error that can occur.
 
@@ -51,23 +67,14 @@ def record_measures(records: DataFrame, schema: Schema) -> DataFrame:
     texts = records.select(
         "page_id", "rec", *[strip(rec[f]).alias(f"t{i}") for i, f in enumerate(schema)]
     )
-    filled, basic, errors = [], [], []
-    for i, (field, spec) in enumerate(schema.items()):
-        text = F.col(f"t{i}")
-        present = is_present(text, stripped=True)
-        telling = (F.length(text) > 1) & (fold_case(text) != fold_case(F.lit(field)))
-        filled.append(present.cast("int"))
-        basic.append((present & telling).cast("int"))
-        code = field_error(field, text, spec, stripped=True)
-        errors.append(F.concat(F.lit(f"{field}:"), code))
-    total = lambda parts: reduce(add, parts) if parts else F.lit(0)
+    filled, basic, errors = _cells({f: F.col(f"t{i}") for i, f in enumerate(schema)}, schema)
     found = F.filter(F.array(*errors), lambda e: e.isNotNull())
     # The lambda keeps this step out of whole-stage codegen, where all the checks would
     # become one method too long for the JVM to compile: half the time on wide schemas.
     checked = texts.select(
         "page_id",
-        total(filled).alias("filled"),
-        total(basic).alias("basic"),
+        filled.alias("filled"),
+        basic.alias("basic"),
         is_garbage(rec).cast("int").alias("garbage"),
         identity(rec, schema).alias("identity"),
         (found if errors else F.array().cast("array<string>")).alias("errors"),
@@ -102,7 +109,6 @@ def score_records(
     (page, identity) first: a page with a third of all records is spread over tasks.
     """
     errors = _error_names(schema)
-    cells = F.col("results_count") * len(schema)
     sums = (
         record_measures(records, schema)
         .groupBy("page_id")
@@ -122,9 +128,16 @@ def score_records(
         sums = pages.join(sums, "page_id", "left").withColumn(
             "results_count", F.coalesce("results_count", F.lit(0)).cast("long")
         )
+    listed = [F.when(F.col(f"e{i}"), name) for i, name in enumerate(errors)]
+    listed = F.array_compact(F.array(*listed)) if errors else F.array().cast("array<string>")
+    return _rated(sums, keep, F.lit(len(schema)), listed)
+
+
+def _rated(sums: DataFrame, keep: list[str], width: Column, listed: Column) -> DataFrame:
+    """Scores from the sums of each page; ``width``: fields of its schema, ``listed``: its errors."""
     some = F.col("results_count") > 0
     n = F.col("results_count")
-    per_cell = lambda c: F.col(c) / cells if schema else F.lit(0.0)
+    per_cell = lambda c: F.when(width > 0, F.col(c) / (n * width)).otherwise(0.0)
     rates = {
         "fill_rate": per_cell("filled"),
         "basic_validity": per_cell("basic"),
@@ -137,11 +150,7 @@ def score_records(
         *keep,
         *([] if "results_count" in keep else ["results_count"]),
         *[F.when(some, r).otherwise(0.0).alias(f"_{k}") for k, r in rates.items()],
-        F.array_compact(
-            F.array(*[F.when(F.col(f"e{i}"), name) for i, name in enumerate(errors)])
-        ).alias("validation_errors")
-        if errors
-        else F.array().cast("array<string>").alias("validation_errors"),
+        listed.alias("validation_errors"),
     )
     raw = {k: F.col(f"_{k}") for k in rates}
     weighted = reduce(add, [raw[k] * w for k, w in fv.SCORE_WEIGHTS.items()])
@@ -240,19 +249,69 @@ def kept_records(
     )
 
 
+#: Errors whose flags share one whole number in ``score_by_schema``.
+_FLAGS = 60
+
+
 def score_by_schema(
     records: DataFrame, schemas: dict[str, Schema], pages: DataFrame | None = None
 ) -> DataFrame:
-    """Scores of records of several schemas, told apart by ``schema_key``.
+    """Scores of records of several schemas, told apart by ``schema_key``, from one scan.
 
-    Each schema has its own plan over its own rows; a table that is partitioned by
-    ``schema_key`` is read once in all.
+    A record is measured by the branch of its schema alone; fields that several schemas share
+    are trimmed once. The errors of a page are flags in whole numbers, which combine
+    before the shuffle and are named by its schema at the end, so columns do not grow with the number of
+    schemas. Rows whose ``schema_key`` is null or not among ``schemas`` take no part. With ``pages``
+    (schema_key, page_id, ...), pages without records score 0.
     """
+    keys, key = ["schema_key", "page_id"], F.col("schema_key")
+    names = {k: _error_names(s) for k, s in schemas.items()}
+    words = max(-(-max(map(len, names.values())) // _FLAGS), 1)
+
+    def switch(branch: Callable[[str, Schema], Column]) -> Column:
+        parts = [F.when(key == k, branch(k, s)) for k, s in schemas.items()]
+        return F.coalesce(*parts)
+
+    def measured(k: str, schema: Schema) -> Column:
+        filled, basic, errors = _cells(texts, schema)
+        found = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array()
+        return F.struct(
+            filled.alias("filled"), basic.alias("basic"), identity(F.col("rec"), schema).alias("identity"),
+            found.cast("array<string>").alias("errors"),
+        )
+
+    def flags(k: str, word: int) -> Column:
+        mine = names[k][word * _FLAGS : (word + 1) * _FLAGS]
+        bits = [F.when(F.array_contains("m.errors", e), 1 << b).otherwise(0) for b, e in enumerate(mine)]
+        return reduce(add, bits, F.lit(0)).cast("long")
 
-    def score(key: str, schema: Schema) -> DataFrame:
-        own = F.col("schema_key") == key
-        some_pages = None if pages is None else pages.where(own).drop("schema_key")
-        scored = score_records(records.where(own), schema, some_pages)
-        return scored.withColumn("schema_key", F.lit(key))
+    def named(k: str, _: Schema) -> Column:
+        on = [(F.col(f"w{i // _FLAGS}").bitwiseAND(1 << i % _FLAGS) != 0, e) for i, e in enumerate(names[k])]
+        return F.array_compact(F.array(*[F.when(c, e) for c, e in on])) if on else F.array().cast("array<string>")
 
-    return reduce(DataFrame.unionByName, [score(k, s) for k, s in schemas.items()])
+    fields = list(dict.fromkeys(f for s in schemas.values() for f in s))
+    texts = {f: F.col(f"t{i}") for i, f in enumerate(fields)}
+    known = key.isin(*schemas)
+    width = switch(lambda _, s: F.lit(len(s)))
+    sums = (
+        records.where(known)
+        .select(*keys, "rec", *[strip(F.col("rec")[f]).alias(f"t{i}") for i, f in enumerate(fields)])
+        .select(*keys, is_garbage(F.col("rec")).cast("int").alias("garbage"), switch(measured).alias("m"))
+        .select(
+            *keys, "garbage", "m.filled", "m.basic", "m.identity", (width - F.size("m.errors")).alias("sound"),
+            *[switch(lambda k, _, w=w: flags(k, w)).alias(f"w{w}") for w in range(words)],
+        )
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("results_count"), F.count_distinct("identity").alias("distinct_ids"),
+            *[F.sum(c).alias(c) for c in ("filled", "basic", "sound", "garbage")],
+            *[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)],
+        )
+    )
+    keep = keys
+    if pages is not None:
+        keep = pages.columns
+        sums = pages.where(known).join(sums, keys, "left").withColumn(
+            "results_count", F.coalesce("results_count", F.lit(0)).cast("long")
+        )
+    return _rated(sums, keep, width, switch(named))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill import fixed_values as fv
 from leafmill.operators import scoring
 
 PLAIN = {"title": "t", "url": "u", "price": "p"}
@@ -167,3 +168,30 @@ def test_retry_is_kept_for_a_measured_gain_only(spark, candidate, accepted):
     new_recs = spark.createDataFrame([(1, "new")], "page_id long, rec string")
     kept = scoring.kept_records(choice, old_recs, new_recs).collect()
     assert [r["rec"] for r in kept] == ["new" if accepted else "old"]
+
+
+def test_schema_per_row_in_one_scan(spark, tmp_path):
+    """All known schemas and one without fields: as each schema by itself, from one scan."""
+    schemas = {**fv.SCHEMAS, "NONE": {}, "WIDE": {f"price_{i}": "Price" for i in range(70)}}
+    values = ["", "x", "12.5", "-3", "soon", "not an email", "a@b.example", "https://x.example/p", "2024-01-15", "click here", None]
+    draw = random.Random(5)
+    rows = []
+    for key, schema in [*schemas.items(), ("UNKNOWN", {"a": "A"}), (None, {"a": "A"})]:
+        for page in range(4):
+            for _ in range(draw.randrange(1, 6)):
+                rec = {f: draw.choice(values) for f in schema if draw.random() < 0.8}
+                rows.append((key, page, rec))
+    ddl = "schema_key string, page_id long, rec map<string,string>"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "records"))
+    records = spark.read.parquet(str(tmp_path / "records"))
+    out = scoring.score_by_schema(records, schemas)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 1
+    got = {(r.schema_key, r.page_id): r.asDict(recursive=True) for r in out.collect()}
+    assert len(got) == 4 * len(schemas)
+    for key in ("NONE", "WIDE", *list(fv.SCHEMAS)[:3]):
+        for r in scoring.score_records(records.where(F.col("schema_key") == key), schemas[key]).collect():
+            assert {**r.asDict(recursive=True), "schema_key": key} == got[key, r.page_id]
+    pages = spark.createDataFrame([("NONE", 9, "u"), ("UNKNOWN", 1, "v")], "schema_key string, page_id long, url string")
+    alone = scoring.score_by_schema(records, schemas, pages).collect()
+    assert [(r.schema_key, r.page_id, r.url, r.score, r.issues) for r in alone] == [("NONE", 9, "u", 0.0, ["NO_RESULTS"])]
