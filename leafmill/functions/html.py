@@ -7,6 +7,7 @@ from collections import Counter
 from html.entities import name2codepoint
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from leafmill import fixed_values as fv
@@ -191,29 +192,54 @@ def _links(tree: PageTree) -> list[dict]:
     ]
 
 
-def _apply_rules(tree: PageTree, rules: list[dict]) -> list[int]:
-    """Apply rules in the given order; a rule counts when it still finds something.
+#: What a rule can name: (tag | id | class, its value), with the ids of the rules that name it.
+RuleIndex = dict[tuple[str, str], set[int]]
 
-    One look at every element, then one look-up per rule.
-    """
+
+def rule_index(rules: list[dict]) -> RuleIndex:
+    """Rules of one domain by what they name; repeated rows of a rule are one, and a rule without
+    a selector names nothing."""
+    index: RuleIndex = {}
+    for rule in rules:
+        if rule["selector"]:
+            index.setdefault((rule["rule_type"], rule["selector"]), set()).add(rule["id"])
+    return index
+
+
+def _places(tree: PageTree) -> dict[tuple[str, str], list[int]]:
+    """Elements by what rules can name, in page order."""
     places: dict[tuple[str, str], list[int]] = {}
     for i, (name, attrs) in enumerate(zip(tree.names, tree.attrs)):
         marks = {("tag", name), ("id", attrs.get("id", ""))}
         marks.update(("class", c) for c in _CLASS_SPLIT.split(attrs.get("class", "").strip()))
         for mark in marks:
             places.setdefault(mark, []).append(i)
+    return places
+
+
+def _apply_rules(tree: PageTree, index: RuleIndex) -> list[int]:
+    """Apply rules in id order; a rule counts when it still finds something.
+
+    One look at every element, then one look-up per distinct mark of the page: how many
+    rules the domain has does not matter.
+    """
+    places = _places(tree)
+    named = sorted((rule, mark) for mark in places for rule in index.get(mark, ()))
     applied = []
-    for rule in rules:
-        kind, selector = rule["rule_type"], rule["selector"]
-        found = places.get((kind, selector), ()) if selector else ()
-        hits = [i for i in found if tree.live[i]]
-        for i in hits[:1] if kind == "id" else hits:
+    for rule, mark in named:
+        hits = [i for i in places[mark] if tree.live[i]]
+        for i in hits[:1] if mark[0] == "id" else hits:
             tree.remove(i)
         if hits:
-            applied.append(rule["id"])
+            applied.append(rule)
     return applied
 
 
+def page_marks(html: str) -> list[tuple[str, str]]:
+    """The distinct marks of a page that rules can name."""
+    return sorted(mark for mark in _places(PageTree(html)) if mark[1])
+
+
 _CLEAN_TYPE = pa.struct(
     [
         ("text", pa.string()),
@@ -261,7 +287,7 @@ _PROFILES = {
 
 
 def clean_page(
-    html: str, rules: list[dict] | None = None, profile: str = "standard", links: bool = False
+    html: str, rules: RuleIndex | None = None, profile: str = "standard", links: bool = False
 ) -> dict:
     """Visible text, applied rule ids and noise classes of one page; title and links too."""
     overlay, hidden = _PROFILES[profile]
@@ -283,15 +309,22 @@ def clean_page(
     return out
 
 
-def clean_html_udf(profile: str = "standard", links: bool = False):
-    """Arrow UDF ``(html, rules) -> struct``; ``profile='compat'`` is the older variant."""
+def clean_html_udf(
+    profile: str = "standard", links: bool = False, shared: Broadcast[dict[str, RuleIndex]] | None = None
+):
+    """Arrow UDF ``(html, rules) -> struct``; ``profile='compat'`` is the older variant.
+
+    With ``shared``, an index of rules by domain that a worker loads once, the second
+    argument is the page's domain instead: pages carry no rules.
+    """
     kind, schema = (_LINKS_TYPE, LINKS_SCHEMA) if links else (_CLEAN_TYPE, CLEAN_SCHEMA)
 
-    def clean_html(html: pa.Array, rules: pa.Array) -> pa.Array:
+    def clean_html(html: pa.Array, by: pa.Array) -> pa.Array:
+        rules_of = shared.value.get if shared else lambda rules: rules and rule_index(rules)
         return pa.array(
             [
-                clean_page(h or "", r, profile, links)
-                for h, r in zip(html.to_pylist(), rules.to_pylist())
+                clean_page(h or "", rules_of(b), profile, links)
+                for h, b in zip(html.to_pylist(), by.to_pylist())
             ],
             kind,
         )
@@ -299,3 +332,19 @@ def clean_html_udf(profile: str = "standard", links: bool = False):
     # Called non-deterministic so that a later filter on the text is not pushed below
     # this step as a second copy of it: every page is parsed once.
     return F.arrow_udf(clean_html, schema).asNondeterministic()
+
+
+def page_marks_udf():
+    """Arrow UDF ``html -> array<struct<rule_type, selector>>``: ``page_marks`` of every page."""
+    kind = pa.list_(pa.struct([("rule_type", pa.string()), ("selector", pa.string())]))
+
+    def marks(html: pa.Array) -> pa.Array:
+        return pa.array(
+            [
+                [{"rule_type": t, "selector": s} for t, s in page_marks(h or "")]
+                for h in html.to_pylist()
+            ],
+            kind,
+        )
+
+    return F.arrow_udf(marks, "array<struct<rule_type:string,selector:string>>")

@@ -1,9 +1,12 @@
 """The cleaning pass: plain functions first, then the table operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.html import PageTree, clean_page, decode_entities
+from leafmill import fixed_values as fv
+from leafmill.functions.html import PageTree, clean_page, decode_entities, rule_index
 from leafmill.operators import cleaning, rules
 
 
@@ -99,11 +102,13 @@ def random_page(rng):
 def test_random_pages_keep_what_no_rule_removes():
     import random
 
-    rules = [
-        {"id": 1, "rule_type": "class", "selector": "promo"},
-        {"id": 2, "rule_type": "tag", "selector": "h1"},
-        {"id": 3, "rule_type": "id", "selector": "one"},
-    ]
+    rules = rule_index(
+        [
+            {"id": 1, "rule_type": "class", "selector": "promo"},
+            {"id": 2, "rule_type": "tag", "selector": "h1"},
+            {"id": 3, "rule_type": "id", "selector": "one"},
+        ]
+    )
     rng = random.Random(11)
     for _ in range(800):
         html, words = random_page(rng)
@@ -165,6 +170,91 @@ def test_rules_in_id_order_first_id_match_only(spark, pages):
     assert row["applied_rule_ids"] == [1, 2, 3]
 
 
+RULE = "id long, domain string, rule_type string, selector string, status string"
+
+
+def rule_by_rule(html, rules):
+    """Rules one after the other in id order, each over the elements that are left."""
+    tree = PageTree(html)
+    for i, (name, attrs) in enumerate(zip(tree.names, tree.attrs)):
+        if name in fv.DROPPED_TAGS:
+            tree.remove(i)
+    applied = []
+    for rule, kind, selector in sorted(set(rules)):
+        names = {
+            "tag": lambda i: tree.names[i] == selector,
+            "id": lambda i: tree.attrs[i].get("id") == selector,
+            "class": lambda i: selector in tree.attrs[i].get("class", "").split(),
+        }[kind]
+        hits = [i for i in range(len(tree.names)) if tree.live[i] and names(i)]
+        for i in hits[:1] if kind == "id" else hits:
+            tree.remove(i)
+        if hits:
+            applied.append(rule)
+    return tree.text(), applied
+
+
+@pytest.mark.parametrize("shared_rows", [1_000_000, 10])
+def test_rules_by_reference_equal_rule_by_rule(spark, shared_rows):
+    """Both plans: the shared index, and pages that meet only the rules that name something on them.
+
+    One domain holds most pages and rules; repeated pages, repeated rules, rules that name
+    the same thing, clashing columns, nulls and empty texts are among them.
+    """
+    rng = random.Random(5)
+    kinds, names = ("tag", "id", "class"), {"tag": ["p", "b", "div", "i"], "id": ["x", "y", "a b"], "class": ["k", "m", "n"]}
+    made, rows = {}, []
+    for n in range(60):
+        domain = rng.choice(["hot.example", "hot.example", "b.example"])
+        kind = rng.choice(kinds)
+        made.setdefault(domain, []).append((n, kind, rng.choice(names[kind])))
+    for n in range(120):
+        parts = []
+        for _ in range(rng.randrange(8)):
+            t = rng.choice(names["tag"])
+            parts.append(f"<{t} id='{rng.choice(names['id'])}' class='{' '.join(rng.sample(names['class'], 2))}'>{rng.randrange(99)}<b>u</b></{t}>")
+        rows.append((n, f"http://{rng.choice(['hot.example', 'hot.example', 'b.example', 'c.example'])}/{n}", "".join(parts), "kept", "kept"))
+    rows += [(200, rows[0][1], None, "kept", "kept"), (201, None, "<p>z</p>", "kept", "kept"), (202, rows[0][1], "", "kept", "kept")] + rows[:20]
+    table = [(i, d, k, s, "active") for d, known in made.items() for i, k, s in known]
+    table += table[:7] + [(900, "hot.example", "tag", "p", "candidate"), (901, None, "tag", "p", "active"), (None, "hot.example", "tag", "p", "active"),
+                          (902, "hot.example", "tag", None, "active"), (903, "hot.example", "id", "", "active"), (904, "hot.example", None, "p", "active")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, cleaning_rules string, id string")
+    spark.conf.set("spark.leafmill.broadcastRows", str(shared_rows))
+    try:
+        got = cleaning.clean_pages(df, spark.createDataFrame(table, RULE)).collect()
+    finally:
+        spark.conf.unset("spark.leafmill.broadcastRows")
+    assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
+    by_id = {r[0]: r for r in rows}
+    for r in got:
+        domain = (by_id[r["page_id"]][1] or "").split("/")[2:3]
+        want = rule_by_rule(by_id[r["page_id"]][2] or "", made.get(domain[0], []) if domain else [])
+        assert (r["text"], r["applied_rule_ids"]) == want
+        assert r["cleaning_rules"] == r["id"] == "kept"
+
+
+@pytest.mark.parametrize("shared_rows", [1_000_000, 1_000])
+def test_a_hundred_thousand_rules_on_one_domain(spark, shared_rows):
+    """No page row carries the rules of its domain, whatever their number."""
+    made = spark.range(100_000).select(
+        "id", F.lit("a.example").alias("domain"), F.lit("class").alias("rule_type"),
+        F.concat(F.lit("k"), "id").alias("selector"), F.lit("active").alias("status"),
+    )
+    some = spark.range(3_000).select(
+        F.col("id").alias("page_id"), F.lit("http://a.example/x").alias("url"),
+        F.format_string("<div class='k%d j'>gone</div><div class='k%d'>left</div>", F.col("id") * 30, F.col("id") + 100_000).alias("html"),
+    )
+    spark.conf.set("spark.leafmill.broadcastRows", str(shared_rows))
+    try:
+        out = cleaning.clean_pages(some, made)
+        if shared_rows > 100_000:
+            assert "cleaning_rules" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = out.agg(F.count("*"), F.count_if((F.col("text") == "left") & (F.col("applied_rule_ids") == F.array(F.col("page_id") * 30)))).first()
+    finally:
+        spark.conf.unset("spark.leafmill.broadcastRows")
+    assert tuple(got) == (3_000, 3_000)
+
+
 def test_challenge_marker_order(spark):
     df = spark.createDataFrame(
         [("<HCAPTCHA> cf-chl-1",), ("awsWAF-captcha g-recaptcha",), ("none",), (None,)], "html string"
