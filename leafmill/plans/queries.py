@@ -1198,6 +1198,15 @@ def latest_recovery_events(spark, sf):
 
 
 # --- streaming -----------------------------------------------------------------
+def _history_of_events(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.lit("d"), F.col("user_id") % 50, F.lit(".example.org")).alias("domain"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("id"),
+        (F.least(F.floor(F.col("value") * 2 + 0.5), F.lit(1000)) / 1000.0).alias("quality_score"),
+    )
+
+
 @query
 def streaming_profiles(spark, sf):
     """Profiles from a stream of the events file; the state ends as in the batch fold."""
@@ -1205,12 +1214,7 @@ def streaming_profiles(spark, sf):
     events = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     )
-    rows = events.select(
-        F.concat(F.lit("d"), F.col("user_id") % 50, F.lit(".example.org")).alias("domain"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("id"),
-        (F.least(F.floor(F.col("value") * 2 + 0.5), F.lit(1000)) / 1000.0).alias("quality_score"),
-    )
+    rows = _history_of_events(events)
     root = new_dir(spark, "stream")
     running = stream.start_profile_stream(
         rows, root, checkpoint=f"{root}/checkpoint", available_now=True
@@ -1219,6 +1223,27 @@ def streaming_profiles(spark, sf):
     return _profile_columns(stream.current_profiles(spark, root))
 
 
+@query
+def streaming_profiles_ordered(spark, sf):
+    """Events that come in three deliveries, every fifth up to 15 days late; a new start for each.
+
+    Rows wait in keyed state until their slice is complete; the end is the batch fold again.
+    """
+    history = _history_of_events(views.table(spark, sf, "events"))
+    root = new_dir(spark, "stream")
+    half = (F.dayofmonth("ts") > 15).cast("int")
+    late = (F.col("id") % 5 == 0).cast("int")
+    sent = stage(history.withColumn("delivery", half + late), "deliveries")
+    for n in range(3):
+        sent.where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{root}/arrived")
+        arrived = spark.readStream.schema(history.schema).parquet(f"{root}/arrived")
+        stream.start_ordered_profile_stream(
+            arrived, root, checkpoint=f"{root}/checkpoint", delay="15 days", slice_seconds=86_400,
+            available_now=True,
+        ).awaitTermination()
+    return _profile_columns(stream.ordered_profiles(spark, root, f"{root}/checkpoint"))
+
+
 # --- command audit -------------------------------------------------------------
 def _verdicts(spark, sf) -> DataFrame:
     return audit.audit_commands(

@@ -141,6 +141,7 @@ WITH {HIST} SELECT domain, count(*) AS n, sum(len(issues))::BIGINT AS issues, su
 ORACLE["domain_profiles"] = f"WITH {HIST}, {PROFILES} SELECT * FROM p"
 ORACLE["strategy_table_versions"] = ORACLE["domain_profiles"]
 ORACLE["streaming_profiles"] = ORACLE["domain_profiles"]
+ORACLE["streaming_profiles_ordered"] = ORACLE["domain_profiles"]
 
 ORACLE["table_upgrade"] = """
 SELECT o_orderkey AS id, 'c' || (o_custkey % 100) || '.example.org' AS domain, 1::INTEGER AS version,

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -141,6 +142,37 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     assert key(stream.current_profiles(spark, root).select(*columns)) == key(want)
 
 
+def test_ordered_stream_equals_the_batch_fold_of_rows_out_of_order(spark, tmp_path):
+    """Rows up to 200 s late, a hot domain, a null domain, repeats; stopped and started again in between."""
+    ddl = "domain string, ts timestamp, id long, quality_score double"
+    rng = random.Random(3)
+    day = datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else None if i % 4 == 0 else f"d{i % 7}", day + timedelta(seconds=i), i, (i * 37 % 1001) / 1000) for i in range(1200)]
+    rows += rows[5:9] + [("hot", day + timedelta(seconds=7), 2000, None), ("x", None, 2001, 0.5)]
+    arrival = sorted(rows, key=lambda r: ((r[1] or day) - day).seconds + rng.randrange(200))
+    src, root, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def go_on(part):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+        query = stream.start_ordered_profile_stream(source, root, checkpoint=cp, delay="200 seconds", slice_seconds=30, available_now=True)
+        query.awaitTermination()
+        return query
+
+    columns = [c for c, _, _ in tables.LAYOUTS["domain_profiles"]]
+    key = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    go_on(arrival[:700])
+    go_on(arrival[700:])
+    want = profiles.fold_profiles(spark.createDataFrame([r for r in rows if r[1]], ddl))
+    assert key(stream.ordered_profiles(spark, root, cp)) == key(want)
+    assert 0 < stream.waiting_rows(spark, cp).count() < 600  # the rest is folded already
+    # A row older than the watermark is dropped and counted; a much later row completes all others.
+    late = go_on([("hot", day, 3000, 0.0), ("z", day + timedelta(days=1), 3001, 0.5)])
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in late.recentProgress) > 0
+    go_on([("z", day + timedelta(days=1, seconds=1), 3002, 0.5)])
+    assert key(stream.current_profiles(spark, root)) == key(want)
+
+
 def verdicts(spark, lines, mode, **kw):
     df = spark.createDataFrame([(i, c, mode) for i, c in enumerate(lines)], "id long, command string, mode string")
     rows = audit.audit_commands(df, workspace="/srv/app", **kw).orderBy("id").collect()
