@@ -1,5 +1,8 @@
 """SQL (DuckDB) for the queries of this folder that SQL can express."""
 
+_EITHER = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_ASSIGN = "(" + "|".join(map(_EITHER, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+
 ORACLE = {
     "op1_topk_search": """
 WITH v AS (
@@ -85,5 +88,27 @@ WITH t AS (
 SELECT s.c::BIGINT AS conv_id, s.d::BIGINT AS depth, q.c::BIGINT AS parent_conv_id, s.n::BIGINT AS n_convs, s.kids::BIGINT AS n_children,
        u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(s.ends) AS ends_sha256
 FROM s JOIN u ON u.d = s.d AND u.k = s.k LEFT JOIN s q ON s.d > 0 AND q.d = s.d - 1 AND q.k = s.up
+""",
+    "op9_secret_scan": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), rules(nth, kind, pattern, least) AS (VALUES
+  (0, 'assign', '{_ASSIGN}["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+  (1, 'access', '(A)(KIA[A-Z0-9]+)', 15),
+  (2, 'hex', '([0-9a-f])([0-9a-f]+)', 31)
+), m AS (
+  SELECT r, t, nth, kind, least, regexp_extract_all(t, pattern, 0) AS m, regexp_extract_all(t, pattern, 2) AS g,
+         string_split_regex(t, pattern) AS gaps FROM d, rules
+), s AS (
+  SELECT r, nth, kind, length(m[i]) AS size, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m) WHERE length(g[i]) >= least
+), f AS (
+  SELECT r, count(*) FILTER (nth = 0) AS a, count(*) FILTER (nth = 1) AS k, count(*) FILTER (nth = 2) AS h,
+         string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, nth) AS spans
+  FROM s GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (r)
 """,
 }

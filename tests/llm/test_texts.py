@@ -100,6 +100,23 @@ def test_secrets(docs, rows):
     assert sum(len(s) for _, s in want) >= 6
 
 
+def test_secrets_sql(spark, docs, tmp_path):
+    import duckdb
+
+    from leafmill.llm import oracle, queries
+
+    odd = ["PAſSWORD=longſecret", "toKen=abcdefgh", "toKen=abcdefgh", "é" * 9 + "AKIA" + "Z" * 12 + "AKIA12 aKIA" + "Q" * 20, "api_key api_key=API_KEY=secret:'x'", "f" * 31 + " " + "0" * 32 + "G" + "a" * 64]
+    more = spark.createDataFrame([(100 + n, t) for n, t in enumerate(odd)], "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_secret_scan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(oracle.ORACLE["op9_secret_scan"])
+    assert [c[0] for c in want.description] == got.columns
+    found = sorted(map(repr, (tuple(r) for r in got.collect())))
+    assert found == sorted(map(repr, want.fetchall())) and sum("access:" in r for r in found) > 1
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{32,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
