@@ -374,7 +374,7 @@ def _quality_of_responses(spark, sf):
 
 @query
 def refinement_requests(spark, sf):
-    """No SQL for this one: its text is JSON as Python indents it."""
+    """Whole requests, with JSON indented by two, for pages that were filled less than half."""
     quality, records = _quality_of_responses(spark, sf)
     pages = views.part_texts(spark, sf)
     return requests.refinement_requests(quality, records, pages, fv.SCHEMAS["PRODUCTS"])

@@ -502,6 +502,37 @@ checked AS (SELECT * FROM all_checked WHERE f IN ('price', 'rooms')),
 ids AS (SELECT brand AS page_id, price || chr(0) || rooms AS identity FROM recs),
 {quality('brand', 2)} {QUALITY_COLUMNS}"""
 
+_product_cells = ", ".join(f"{q(f)}: {f if f in ('price', 'url') else 'NULL'}" for f in fv.SCHEMAS["PRODUCTS"])
+_part_records = ORACLE["response_records"].removeprefix(f"\nWITH {RESPONSES}, ")
+_rates = [("fill_rate", "fill_rate"), ("validity_rate", "basic_validity"), ("uniqueness_rate", "uniqueness"), ("content_quality", "content_quality"), ("deterministic_validation_rate", "deterministic_validation")]
+_components = ["fill_rate", "basic_validity", "uniqueness", "content_quality", "deterministic_validation", "result_count"]
+_listed = lambda x: f"""CASE WHEN {x} = '' THEN '[]' ELSE '[{{nl}}    "' || replace({x}, ',', '",{{nl}}    "') || '"{{nl}}  ]' END"""
+_diagnosis = (
+    """'{{nl}  "score_kind": "extraction_quality_proxy",{nl}  "semantic_correctness_guaranteed": false,{nl}  "results_count": ' || results_count || ',{nl}  "components": {{nl}'"""
+    + " || ',{nl}'".join(f""" || '    "{c}": ' || {c}::DOUBLE""" for c in _components)
+    + " || '{nl}  }'"
+    + "".join(f""" || ',{{nl}}  "{name}": ' || {c}::DOUBLE""" for name, c in [*_rates, ("confidence", "confidence"), ("uncertainty", "uncertainty")])
+    + f""" || ',{{nl}}  "validation_errors": ' || {_listed("validation_errors")} || ',{{nl}}  "issues": ' || {_listed("issues")} || '{{nl}}}}'"""
+)
+_record = """'  {{nl}    "title": "' || title || '",{nl}    "url": "' || url || '",{nl}    "price": "' || price || '",{nl}    "stock": "' || replace(stock, '"', chr(92) || '"') || '"{nl}  }'"""
+ORACLE["refinement_requests"] = f"""
+WITH {RESPONSES}, rec_e AS (WITH {_part_records}),
+checked AS (SELECT *, CASE WHEN f = 'url' AND present AND NOT regexp_matches(s, '^https?://[^/]') THEN 'invalid_url'
+    WHEN f = 'price' AND present AND NOT regexp_matches(s, '[0-9]') THEN 'missing_number' END AS error
+  FROM (SELECT *, trim(v, {SPACE}) AS s, v IS NULL AS missing, v IS NOT NULL AND trim(v, {SPACE}) NOT IN ({values(*fv.ABSENT_TEXTS)}) AS present
+    FROM (SELECT page_id, page_id * 100 + rec_ord AS k, unnest(map_entries(MAP {{{_product_cells}}}), recursive := true) FROM rec_e) t(page_id, k, f, v))),
+ids AS (SELECT page_id, '' AS identity FROM rec_e), {quality("page_id", len(fv.SCHEMAS["PRODUCTS"]))},
+rated AS ({QUALITY_COLUMNS}
+  UNION ALL SELECT page_id, 0::BIGINT, {_zeros}, 1.0::DOUBLE, '', 'NO_RESULTS' FROM d WHERE error_type = '' AND len(items) = 0),
+sample AS (SELECT page_id, '[{{nl}}' || string_agg({_record}, ',{{nl}}' ORDER BY rec_ord) || '{{nl}}]' AS sample FROM rec_e WHERE rec_ord < 3 GROUP BY 1),
+paged AS (SELECT p_partkey AS page_id, substr(coalesce(text, 'https://' || replace(lower(p_brand), '#', '') || '.example.com/list/' || p_partkey), 1, 5000) AS page
+  FROM part LEFT JOIN documents ON doc_id = p_partkey % (SELECT greatest(1, count(*)) FROM documents)),
+told AS (SELECT page_id, {q(fv.REFINEMENT_PROMPT_OPENING + chr(10) * 2 + "Schema:" + chr(10) + json.dumps(fv.SCHEMAS["PRODUCTS"], indent=2))}
+  || '{{nl}}{{nl}}Sample output:{{nl}}' || coalesce(sample, '[]') || '{{nl}}{{nl}}Proxy diagnostics:{{nl}}' || {_diagnosis}
+  || '{{nl}}{{nl}}Page sample:{{nl}}' || substr(page, 1, 3000) || '{{nl}}{{nl}}' || {q(fv.REFINEMENT_PROMPT_CLOSING)} AS user_content
+  FROM rated JOIN paged USING (page_id) LEFT JOIN sample USING (page_id) WHERE fill_rate < 0.5 AND page <> '')
+SELECT page_id, 'refine' AS kind, NULL::VARCHAR AS system_prompt, user_content, length(user_content)::INTEGER AS content_chars FROM told""".replace("{nl}", chr(10))
+
 _mixed = "page_id, results_count, score, confidence, validation_errors, issues"
 ORACLE["mixed_schema_scores"] = f"""
 SELECT 'PARTS' AS schema_key, {_mixed} FROM ({ORACLE["brand_quality_scores"]}) WHERE page_id % 2 = 1
