@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill import fixed_values as fv
-from leafmill.functions.html import PageTree, clean_page, decode_entities, rule_index
+from leafmill.functions.html import PageTree, clean_html_udf, clean_page, decode_entities, page_marks, page_marks_udf, rule_index
 from leafmill.operators import cleaning, rules
 
 
@@ -313,3 +314,25 @@ def test_links_of_every_form():
         ("five", "/aside", False), ("", "/empty", True),
     ]
     assert clean_page("", links=True)["links"] == [] and "links" not in clean_page("<a href=x>y</a>")
+
+
+def test_a_batch_is_parsed_in_slices(spark):
+    """A worker holds the parsed pages of a slice, not of a batch; rows keep their order."""
+    pages = [f"<title>t{i}</title><a href='/{i}'>l</a><p class='ad-x'>{'é ' * (i % 997)}" for i in range(4000)]
+    pages[7], pages[8], pages[9] = None, "", "<p>" + "x" * 3_000_000
+    html, by = pa.array(pages), pa.nulls(len(pages), pa.list_(pa.null()))
+    parts = list(clean_html_udf(links=True).func(iter([(html, by), (html[:0], by[:0]), (html[:20], by[:20])])))
+    low = 0
+    for part in parts[:-1]:
+        sent = [len((h or "").encode()) for h in pages[low : low + len(part)] if h != pages[9]]
+        assert sum(sent) <= 2 << 20
+        low += len(part)
+    want = [clean_page(h or "", links=True) for h in pages]
+    got = [row for part in parts for row in part.to_pylist()]
+    assert got == want + want[:20]
+    marks = [row for part in page_marks_udf().func(iter([html])) for row in part.to_pylist()]
+    assert [[(m["rule_type"], m["selector"]) for m in row] for row in marks] == [page_marks(h or "") for h in pages]
+
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(3).withColumn("url", F.lit("https://a.example/"))
+    found = {r.page_id: r for r in cleaning.clean_pages(df, links=True).select("page_id", "text", "title").collect()}
+    assert [(found[i].text, found[i].title) for i in range(len(pages))] == [(w["text"], w["title"]) for w in want]
