@@ -98,6 +98,8 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
 
 
 N_SHAPE = 15
+#: Rows that a fit unpacks at a time.
+_FIT_ROWS = 1024
 
 
 class Model:
@@ -122,18 +124,36 @@ class Model:
                 out[self.place[unit]] = 1
         return out
 
-    def fit(self, x: np.ndarray, targets: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> None:
-        self.mean, self.scale = x.mean(0), x.std(0) + 0.05
-        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        penalty = np.full(z.shape[1], ridge)
+    def row_bytes(self, text: bytes) -> bytes:
+        """A row for the way to the driver: shape as floats, words as bits."""
+        row = self.row(text)
+        return row[:N_SHAPE].astype("<f4").tobytes() + np.packbits(row[N_SHAPE:] > 0).tobytes()
+
+    def rows_of(self, packed: np.ndarray) -> np.ndarray:
+        """Rows from what ``row_bytes`` made, a line of bytes each."""
+        shapes = np.ascontiguousarray(packed[:, : 4 * N_SHAPE]).view("<f4").astype(float)
+        return np.c_[shapes, np.unpackbits(packed[:, 4 * N_SHAPE :], axis=1, count=self.size - N_SHAPE)]
+
+    def fit(self, packed: np.ndarray, targets: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> None:
+        """Rows stay packed; sums are taken over a few of them at a time."""
+        n = len(packed)
+        parts = [slice(low, low + _FIT_ROWS) for low in range(0, n, _FIT_ROWS)]
+        self.mean = sum(self.rows_of(packed[s]).sum(0) for s in parts) / n
+        self.scale = np.sqrt(sum(((self.rows_of(packed[s]) - self.mean) ** 2).sum(0) for s in parts) / n) + 0.05
+        penalty = np.full(self.size + 1, ridge)
         penalty[-1] = 1e-6
-        self.shares = (targets.sum(0) + 1) / (len(targets) + 2)
+        self.shares = (targets.sum(0) + 1) / (n + 2)
         for t in range(targets.shape[1]):
-            beta = np.zeros(z.shape[1])
+            beta = np.zeros(self.size + 1)
             for _ in range(rounds):  # damped Newton steps
-                p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-                gradient = z.T @ (targets[:, t] - p) - penalty * beta
-                step = np.linalg.solve((z * (p * (1 - p) + 1e-4)[:, None]).T @ z + np.diag(penalty), gradient)
+                gradient, curve = -penalty * beta, np.diag(penalty)
+                for s in parts:
+                    x = self.rows_of(packed[s])
+                    z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
+                    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                    gradient = gradient + z.T @ (targets[s, t] - p)
+                    curve = curve + (z * (p * (1 - p) + 1e-4)[:, None]).T @ z
+                step = np.linalg.solve(curve, gradient)
                 beta += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
                 if np.abs(step).max() < 1e-6:
                     break
@@ -208,16 +228,16 @@ def fit(
 
     def features(batches: Batches):
         for rows in batches:
-            x = [model.row(t).astype("<f4").tobytes() for t in as_bytes(rows.column("text"))]
+            x = [model.row_bytes(t) for t in as_bytes(rows.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.binary()), rows.column("quality"), rows.column("toxic")], names=["x", "quality", "toxic"]
             )
 
-    rows = sample.mapInArrow(features, "x binary, quality int, toxic int").collect()  # sample_rows, a few kilobytes each
+    rows = sample.mapInArrow(features, "x binary, quality int, toxic int").collect()  # sample_rows, about a hundred bytes each
     if rows:
         rows.sort(key=lambda r: (bytes(r.x), r.quality, r.toxic))
-        x = np.frombuffer(b"".join(r.x for r in rows), "<f4").reshape(len(rows), -1).astype(float)
-        model.fit(x, np.array([[r.quality, r.toxic] for r in rows], float))
+        packed = np.frombuffer(b"".join(r.x for r in rows), np.uint8).reshape(len(rows), -1)
+        model.fit(packed, np.array([[r.quality, r.toxic] for r in rows], float))
     return model
 
 

@@ -103,6 +103,36 @@ def test_a_word_and_its_stems_take_one_place(spark):
     assert b"z" * 50 in quality._telling(sample, telling=9, word_bytes=50)
 
 
+def test_a_fit_keeps_its_rows_packed():
+    """The driver holds about a hundred bytes a sampled row, and unpacks a few rows at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    known = [bytes([97 + k // 26, 97 + k % 26, 120]) for k in range(400)]
+    texts = [b" ".join(known[k] for k in r.integers(0, 400, r.integers(0, 60))) for _ in range(6000)]
+    targets = np.array([[known[3] in x or known[17] in x, known[40] in x] for x in texts], float)
+    for words in ([], known[:317]):
+        model = quality.Model(words)
+        packed = np.frombuffer(b"".join(model.row_bytes(x) for x in texts), np.uint8).reshape(len(texts), -1)
+        x = np.array([model.row(t) for t in texts])
+        assert packed.shape[1] <= 100 and np.array_equal(model.rows_of(packed), x.astype("<f4").astype(float))
+        tracemalloc.start()
+        model.fit(packed, targets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * x.nbytes or not words
+        assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.scale, x.std(0) + 0.05, atol=1e-6)
+        # At the end of the Newton steps, the gradient of all rows together is zero.
+        z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
+        for t in range(2):
+            beta = model.weights[t]
+            gradient = z.T @ (targets[:, t] - 1 / (1 + np.exp(-z @ beta))) - np.r_[np.ones(model.size), 1e-6] * beta
+            assert np.abs(gradient).max() < 1e-2
+    assert ((model.score(x)[:, 0] > 0) == targets[:, 0]).mean() > 0.95
+
+
 def test_quality_edges(spark, docs, rows, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, none).filter("kept").count() == len(rows)
